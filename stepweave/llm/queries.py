@@ -32,9 +32,9 @@ weighed as (select *, case no % 3 when 0 then 5 when 1 then 2 else 1 end as weig
 levels as (
   select *, (sum(source_size) over () * 1.5e0 - coalesce(sum(cap) over (order by cap / weight, no rows between unbounded preceding and 1 preceding), 0e0))
     / sum(weight) over (order by cap / weight, no rows between current row and unbounded following) as lev,
-    row_number() over (order by cap / weight, no) as at
+    row_number() over (order by cap / weight, no) as place
   from weighed),
-level as (select min_by(lev, at) as lev from levels where cap / weight >= lev),
+level as (select min_by(lev, place) as lev from levels where cap / weight >= lev),
 targets as (select s.source, s.source_size, coalesce(least(s.cap, l.lev * s.weight), s.cap) as target from levels s left join level l on true),
 split as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as epochs from targets),
 run as (
