@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, packing
 from .common import table
 
 
@@ -47,9 +47,15 @@ from run
 """
 
 
+def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 4096 tokens, packed into sequences."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op9_pack_documents": op9_pack_documents,
     }
 
 
