@@ -13,23 +13,22 @@ one row a range and task, not one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, unit_hash
 
 #: Ranges of keys for each source.
-CELLS = 16384
+CELLS = 2048
 #: Weights that sources get in turn, by code point.
 WEIGHTS = (5, 2, 1)
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
-    """``docs`` with a column ``quality_weight`` from the labels' quality flag (the best one, if several); 1 where there is none."""
+def quality_weights(labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
+    """(doc_id, quality_weight) of labelled documents, from the best of a document's quality flags."""
     best = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_best"))
-    joined = docs.join(best, "doc_id", "left")
-    return joined.withColumn("quality_weight", F.when(F.col("_best") >= 1, F.lit(good)).when(F.col("_best") < 1, F.lit(poor)).otherwise(F.lit(1.0))).drop("_best")
+    return best.where("_best is not null").select("doc_id", F.when(F.col("_best") >= 1, F.lit(good)).otherwise(F.lit(poor)).alias("quality_weight"))
 
 
 def source_targets(sizes: DataFrame, *, budget: float = 1.5, most_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -52,21 +51,25 @@ def source_targets(sizes: DataFrame, *, budget: float = 1.5, most_epochs: float
     return s.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("weight")), F.col("_cap"))).drop("_no", "_cap", "_level", "_at")
 
 
-def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, budget: float = 1.5, most_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: DataFrame | None = None, budget: float = 1.5, most_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, epochs, sampled, taken (and the columns to carry).
 
     ``epochs`` is the number of complete passes, ``sampled`` whether the fractional pass takes the
     document, ``taken`` its words in the mix.  The document in which a budget ends is taken if that
     brings the source nearer to its target, so the error is at most half of that document.
 
-    Null text: size 0, never sampled.  Null source: a source of its own, last in order.  Null
-    quality, or one that is not above 0: weight 1.  Equal keys go by doc_id and size, and rows equal in all of
+    Null text: size 0, never sampled.  Null source: a source of its own, last in order.  ``quality`` is a table
+    (doc_id, quality_weight); without a weight above 0 there, a document has weight 1.  Equal keys go by doc_id and size, and rows equal in all of
     these are interchangeable.  Other columns are ignored, whatever their names.  An empty table gives
     an empty result.
     """
-    weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(F.lit(1.0))
-    own = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), weight.alias("_w")]
-    base = docs.select(*own, *[F.col(c).alias(f"_c_{c}") for c in carry])
+    own = [F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")]
+    base = docs.select(*own, *[F.col(c).alias(f"_c_{c}") for c in carry])  # texts go no further
+    if quality is None:
+        base = base.withColumn("_w", F.lit(1.0))
+    else:
+        of = quality.groupBy(F.col("doc_id").alias("_q")).agg(F.max("quality_weight").cast("double").alias("_w"))
+        base = base.join(of, F.col("doc_id") == F.col("_q"), "left").drop("_q").withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)))
     base = base.withColumn("_key", -F.log(unit_hash(F.col("doc_id"))) / F.col("_w")).drop("_w")
     base = base.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_key"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
     base = cut(base.withColumn("_s", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))))
@@ -100,8 +103,7 @@ def apply_mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> Da
     """
     names = docs.columns
     keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    weighed = keyed if labels is None else quality_weights(keyed, labels)
-    takes = mix_sources(weighed, quality=None if labels is None else F.col("quality_weight"), carry=("_sha", "source"), **options)
+    takes = mix_sources(keyed, quality=None if labels is None else quality_weights(labels), carry=("_sha", "source"), **options)
     key = [F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("_sha")]
     passes = takes.groupBy(*key).agg(F.sum(F.col("epochs") + F.col("sampled").cast("long")).alias("_passes"), F.count(F.lit(1)).alias("_rows"))
     one = passes.where("_passes > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("_sha").alias("_h"), "_passes", "_rows")

@@ -13,8 +13,7 @@ from .common import table
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted mix of all documents: words taken of each."""
-    docs = mixing.quality_weights(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "labels"))
-    mix = mixing.mix_sources(docs, quality=F.col("quality_weight"))
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"), quality=mixing.quality_weights(table(spark, sf_dir, "labels")))
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
