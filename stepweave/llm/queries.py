@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import language, mixing, packing
 from .common import table
 
 
@@ -46,6 +46,15 @@ from run
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    out = model.predict(docs.select("doc_id", "text"))
+    held_out = F.coalesce(language.remainder(F.col("row.doc_id")) == 2, F.lit(False))
+    return out.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -54,6 +63,7 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_language_id": op3_language_id,
         "op9_pack_documents": op9_pack_documents,
     }
 
