@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing
+from . import exact, language, mixing, packing
 from .common import table
 
 
@@ -55,6 +55,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of identical texts, by block naming."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+with d as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id) as r from documents)
+select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,
+  row_number() over (partition by text order by doc_id desc nulls last, r) = 1 as kept, sha256(text) as text_sha256
+from d
+"""
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_language_id": op3_language_id,
+        "op4_exact_dedup": op4_exact_dedup,
         "op9_pack_documents": op9_pack_documents,
     }
 
@@ -71,4 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op4_exact_dedup": OP4_SQL,
     }
