@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing
+from . import exact, language, mixing, packing, secrets
 from .common import table
 
 
@@ -46,6 +46,59 @@ from run
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked secret spans of every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.concat("base", "linked")).alias("spans"),
+        F.size("linked").cast("long").alias("n_linked"),
+    )
+
+
+def _duck_spans(name: str, pattern: str, kind: int, keep: str, group: int = 0) -> str:
+    """DuckDB's form of the spans of a pattern: lengths of pieces and matches, added up."""
+    p = pattern.replace("'", "''")
+    return f"""
+{name}_m as (
+  select r, unnest(regexp_split_to_array(t, '{p}')) as g, unnest(list_append(regexp_extract_all(t, '{p}'), null)) as m,
+    unnest(list_append(regexp_extract_all(t, '{p}', {group}), null)) as o, generate_subscripts(regexp_split_to_array(t, '{p}'), 1) as i
+  from d where regexp_matches(t, '{p}')),
+{name} as (
+  select r, (e - length(m))::int as s, {kind} as k, e::int as e
+  from (select r, m, o, sum(length(g) + coalesce(length(m), 0)) over (partition by r order by i) as e from {name}_m)
+  where m is not null and {keep})"""
+
+
+_PLAIN_ASSIGN = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
+OP2_SQL = f"""
+with d as (select row_number() over (order by doc_id) as r, doc_id, coalesce(text, '') as t from documents),
+{_duck_spans("a", _PLAIN_ASSIGN, 0, "length(o) >= 12", 2)},
+{_duck_spans("c", secrets.ACCESS, 1, "true")},
+{_duck_spans("h", secrets.HEX, 2, "true")},
+{_duck_spans("wa", _PLAIN_ASSIGN, 3, "length(o) >= 6 and length(o) < 12", 2)},
+{_duck_spans("wc", secrets.SHORT_ACCESS, 4, "length(o) >= 12 and length(o) < 18")},
+{_duck_spans("wn", secrets.NAMED_ACCESS, 4, "true", 1)},
+{_duck_spans("wt", secrets.TOKEN, 5, "regexp_matches(o, '[a-z]') and regexp_matches(o, '[A-Z]') and regexp_matches(o, '[0-9]') and not starts_with(o, 'AKIA')")},
+{_duck_spans("we", secrets.ENDPOINT, 6, "true")},
+base as (select * from a union all select * from c union all select * from h),
+weak as (select distinct * from (select * from wa union all select * from wc union all select * from wn union all select * from wt union all select * from we) w
+  where not exists (select 1 from base b where b.r = w.r and b.s <= w.s and w.e <= b.e)),
+every as (select *, case when k in (1, 4) then 1 when k = 6 then 2 else 0 end as role from (select * from base union all select * from weak)),
+linked as (select w.r, w.s, w.k, w.e from every w where w.k >= 3 and exists (select 1 from every o
+  where o.r = w.r and o.s <= w.e + {secrets.SCOPE} and w.s <= o.e + {secrets.SCOPE} and o.role <> w.role and (o.role = 0 or w.role = 0))),
+names as (select unnest(['assign', 'access', 'hex', 'weak_assign', 'weak_access', 'weak_token', 'endpoint']) as name, unnest(range(7)) as k),
+b as (select r, count(*) filter (where k = 0) as na, count(*) filter (where k = 1) as nc, count(*) filter (where k = 2) as nh,
+  string_agg(name || ':' || s || ':' || e, ',' order by s, k, e) as spans from base join names using (k) group by r),
+l as (select r, count(*) as n from linked group by r),
+x as (select r, string_agg(name || ':' || s || ':' || e, ',' order by s, k, e) as spans from (select * from base union all select * from linked) join names using (k) group by r)
+select doc_id, coalesce(na, 0) as n_assign, coalesce(nc, 0) as n_access, coalesce(nh, 0) as n_hex, sha256(coalesce(b.spans, '')) as base_sha256,
+  coalesce(x.spans, '') as spans, coalesce(l.n, 0) as n_linked
+from d left join b using (r) left join l using (r) left join x using (r)
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +129,7 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_secret_scan": op2_secret_scan,
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op9_pack_documents": op9_pack_documents,
@@ -85,5 +139,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op2_secret_scan": OP2_SQL,
         "op4_exact_dedup": OP4_SQL,
     }
