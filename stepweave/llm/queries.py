@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, secrets
+from . import exact, language, mixing, near, packing, secrets
 from .common import table
 
 
@@ -121,6 +121,12 @@ from d
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets share 80 per cent or more."""
+    found = near.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -132,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_near_dedup": op5_near_dedup,
         "op9_pack_documents": op9_pack_documents,
     }
 
