@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, near, packing, secrets
+from . import exact, language, mixing, near, packing, secrets, substrings
 from .common import table
 
 
@@ -127,6 +127,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 35-word runs that also start elsewhere."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -139,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_near_dedup": op5_near_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op9_pack_documents": op9_pack_documents,
     }
 
