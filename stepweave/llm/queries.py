@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, near, packing, secrets, substrings
+from . import exact, fingerprint, language, mixing, near, packing, secrets, substrings
 from .common import table
 
 
@@ -132,6 +132,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -145,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_fingerprints": op7_fingerprints,
         "op9_pack_documents": op9_pack_documents,
     }
 
