@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, language, mixing, near, packing, secrets, substrings
+from . import exact, fingerprint, language, lines, mixing, near, packing, secrets, substrings, tokencount
 from .common import table
 
 
@@ -137,11 +137,29 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of templates that recur across documents."""
+    return lines.drop_template_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of at most 4096 tokens, packed into sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, before and after three edits of each: an insertion, a deletion and a replacement."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    third = F.floor(n / 3).cast("int")
+    edits = F.array(
+        F.struct(third.alias("start"), third.alias("end"), F.lit(" an inserted phrase,").alias("new")),
+        F.struct((2 * third).alias("start"), (2 * third + 24).alias("end"), F.lit("").alias("new")),
+        F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("Opening").alias("new")),
+    )
+    return tokencount.count_edits(docs, edits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -151,7 +169,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
+        "op8_line_dedup": op8_line_dedup,
         "op9_pack_documents": op9_pack_documents,
+        "op10_token_counts": op10_token_counts,
     }
 
 
