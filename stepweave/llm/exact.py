@@ -36,8 +36,8 @@ def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
     hashed = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - hash_bits)
-    own = docs.select(F.col("doc_id"), F.sha2(text, 256).alias("sha"), blocks.alias("blocks"))
-    rows = cut(own.select("doc_id", "sha", F.transform("blocks", hashed).alias("hashes")).withColumn("uid", F.monotonically_increasing_id()))
+    own = docs.select(F.col("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("txt"), blocks.alias("blocks"))
+    rows = cut(own.select("doc_id", "sha", "txt", F.transform("blocks", hashed).alias("hashes")).withColumn("uid", F.monotonically_increasing_id()))
 
     found = own.select(F.explode("blocks").alias("b")).select(hashed(F.col("b")).alias("h"), "b").groupBy("h").agg(F.sort_array(F.collect_set("b")).alias("texts"))
     found = found.select("h", F.size("texts").alias("n"), F.posexplode("texts").alias("no", "b"))
@@ -51,7 +51,7 @@ def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) ->
         texts = texts.join(shared, ["h", "b"]).select("doc_id", "sha", "pos", "name").distinct()
         same = texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["sha"] == places["sha"]) & (texts["pos"] == places["pos"])
         placed = placed.unionByName(places.join(texts, same).select("uid", places["pos"], "name"))
-    return rows.select("uid", "doc_id", "sha", F.size("hashes").alias("n_blocks")), cut(_in_order(placed))
+    return rows.select("uid", "doc_id", "sha", "txt", F.size("hashes").alias("n_blocks")), cut(_in_order(placed))
 
 
 def _in_order(placed: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def text_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) -> D
 
 
 def exact_duplicates(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, txt (the text's xxhash64).
 
     Of equal texts the row with the largest doc_id stays (null ids are smallest); of rows equal in
     that too, one.  A null text counts as empty, and empty texts are equal.  Other columns are ignored.  An
@@ -92,18 +92,18 @@ def exact_duplicates(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64
     best = F.max(F.struct("doc_id", (-F.col("uid")).alias("u"))).alias("best")
     groups = cut(named.groupBy("n_blocks", "name").agg(best, F.count(F.lit(1)).alias("group_size")))
     out = named.join(groups, ["n_blocks", "name"])
-    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == -F.col("best.u")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == -F.col("best.u")).alias("kept"), F.col("sha").alias("text_sha256"), "txt")
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that a decision (doc_id, text_sha256, kept) keeps, with their own columns.
+    """The rows of ``docs`` that a decision (doc_id, txt, kept) keeps, with their own columns; txt is the xxhash64 of the text.
 
     Rows equal in id and text are interchangeable: as many of them stay as are kept.
     """
     names = docs.columns
-    kept = decided.groupBy(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_stay")).where("_stay > 0")
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_sha"] == kept["_h"]))
+    kept = decided.groupBy(F.col("doc_id").alias("_d"), F.col("txt").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_stay")).where("_stay > 0")
+    keyed = docs.withColumn("_txt", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_txt"] == kept["_h"]))
     some = found.where("_stay < _rows").withColumn("_no", F.row_number().over(W.partitionBy("_d", "_h").orderBy(F.lit(0)))).where("_no <= _stay").drop("_no")
     return found.where("_stay = _rows").unionByName(some).select(*names)
 

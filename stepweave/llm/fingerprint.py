@@ -42,13 +42,13 @@ def fingerprints_of(texts: list[str | None], *, shingle: int = SHINGLE, hashes:
 
 
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = 80, bands: int = 32) -> DataFrame:
-    """(doc_id, text_sha256, class, group): documents with equal sets share a class, and linked classes a group.
+    """(doc_id, txt, class, group): documents with equal sets share a class, and linked classes a group.
 
     Signature bands are joined, and links verified by the Jaccard similarity of full shingle sets; see ``nearcore``.
     """
     members, roots = linked_classes(docs, shingle=shingle, percent=percent, bands=bands, rows=HASHES // bands)
     out = members.join(roots, "digest", "left")
-    return out.select("doc_id", F.col("sha").alias("text_sha256"), F.hex("digest").alias("class"), F.hex("root").alias("group"))
+    return out.select("doc_id", "txt", F.hex("digest").alias("class"), F.hex("root").alias("group"))
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

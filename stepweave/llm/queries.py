@@ -110,7 +110,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of identical texts, by block naming."""
-    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("txt")
 
 
 OP4_SQL = """
