@@ -43,6 +43,22 @@ def evaluate(actions: DataFrame, ck: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_thresholds(ck: DataFrame, taus: tuple[float, ...]) -> DataFrame:
+    """``evaluate(select_actions(...))`` in one aggregate: the choice still depends on places and probabilities alone, and its outcome is carried along.
+
+    One shuffle by trace, and no join.
+    """
+    row = F.struct("ordinal", "prefix_tokens", "success_count")  # ordinals differ, so the maximum is that of the ordinal
+    parts = [F.struct(F.lit(float(t)).alias("tau"), (F.max(F.when(F.col("p") >= t, row)) if t < 1 else F.max(F.when(F.lit(False), row))).alias("c")) for t in taus]
+    per = ck.groupBy("trace_id", "base_model", "domain", "total_tokens").agg(F.array(*parts).alias("_a"), F.min_by("success_count", "ordinal").alias("_full"))
+    x = per.select("trace_id", "base_model", "domain", "total_tokens", "_full", F.explode("_a").alias("_x")).select("*", F.col("_x.tau").alias("tau"), F.col("_x.c").alias("_c"))
+    return x.select(
+        "tau", "base_model", "trace_id", "domain", F.col("_c.ordinal").alias("chosen"), "total_tokens", F.col("_c").isNull().alias("fallback"), F.col("_c.prefix_tokens").alias("kept_tokens"),
+        (F.coalesce("_c.success_count", "_full") / 4).alias("success"), (F.coalesce("_c.prefix_tokens", F.lit(0.0)) / F.col("total_tokens")).alias("retained"),
+        (F.col("total_tokens") - F.coalesce("_c.prefix_tokens", F.lit(0.0))).alias("fresh"),
+    )
+
+
 def macro_curve(ev: DataFrame) -> DataFrame:
     """By threshold: means of the models' means."""
     by_model = ev.groupBy("tau", "base_model").agg(F.avg("success").alias("s"), F.avg("fresh").alias("t"), F.avg(F.col("fallback").cast("int")).alias("f"))

@@ -27,7 +27,7 @@ ev as (
 
 
 def actions(spark, d):
-    return policy.evaluate(policy.select_actions(checkpoints(spark, d), TAUS), checkpoints(spark, d))
+    return policy.evaluate_thresholds(checkpoints(spark, d), TAUS)
 
 
 @query("policy_by_threshold", "WIN01 JOI14 JOI03 MET21 FIL12", f"""with {_ACTIONS}

@@ -137,6 +137,15 @@ def test_threshold_actions_choose_the_latest(spark):
         policy.blind(ck.withColumn("success_count", F.lit(1)))
 
 
+def test_one_pass_policy_equals_selection_and_lookup(spark):
+    from stepweave.plans.views import checkpoints
+
+    ck, taus = checkpoints(spark, SF), (0.0, 0.5, 1.0)
+    two = policy.evaluate(policy.select_actions(ck, taus), ck)
+    one = policy.evaluate_thresholds(ck, taus).select(*two.columns)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
 def test_projection_is_the_closest_nonincreasing():
     rng = np.random.default_rng(3)
     for _ in range(200):
