@@ -24,10 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: later steps start from it, whatever executors are lost."""
+#: Rows of a few numbers that one task handles in a second or so.
+NARROW = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later steps start from it, whatever executors are lost.
+
+    With ``rows``, the table is read again in as many parts as that many rows each make, so that shuffles of what
+    has become small do not write a file for each part of what was large.  More rows mean more parts, up to those written.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out if rows is None else out.coalesce(max(1, -(-out.count() // rows)))
 
 
 def n_words(text: Column) -> Column:

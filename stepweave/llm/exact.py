@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import NARROW, cut
 
 BLOCK = 1024
 
@@ -37,11 +37,11 @@ def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) ->
     blocks = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
     hashed = lambda b: F.shiftrightunsigned(F.xxhash64(b), 64 - hash_bits)
     own = docs.select(F.col("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("txt"), blocks.alias("blocks"))
-    rows = cut(own.select("doc_id", "sha", "txt", F.transform("blocks", hashed).alias("hashes")).withColumn("uid", F.monotonically_increasing_id()))
+    rows = cut(own.select("doc_id", "sha", "txt", F.transform("blocks", hashed).alias("hashes")).withColumn("uid", F.monotonically_increasing_id()), NARROW)
 
     found = own.select(F.explode("blocks").alias("b")).select(hashed(F.col("b")).alias("h"), "b").groupBy("h").agg(F.sort_array(F.collect_set("b")).alias("texts"))
     found = found.select("h", F.size("texts").alias("n"), F.posexplode("texts").alias("no", "b"))
-    names = cut(_named(found, "h", "no").select("h", "n", F.when(F.col("n") > 1, F.col("b")).alias("b"), "name"))
+    names = cut(_named(found, "h", "no").select("h", "n", F.when(F.col("n") > 1, F.col("b")).alias("b"), "name"), NARROW)
 
     places = rows.select("uid", "doc_id", "sha", F.posexplode("hashes").alias("pos", "h"))
     placed = places.join(names.where("n = 1").select("h", "name"), "h").select("uid", "pos", "name")
@@ -51,7 +51,7 @@ def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) ->
         texts = texts.join(shared, ["h", "b"]).select("doc_id", "sha", "pos", "name").distinct()
         same = texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["sha"] == places["sha"]) & (texts["pos"] == places["pos"])
         placed = placed.unionByName(places.join(texts, same).select("uid", places["pos"], "name"))
-    return rows.select("uid", "doc_id", "sha", "txt", F.size("hashes").alias("n_blocks")), cut(_in_order(placed))
+    return rows.select("uid", "doc_id", "sha", "txt", F.size("hashes").alias("n_blocks")), cut(_in_order(placed), NARROW)
 
 
 def _in_order(placed: DataFrame) -> DataFrame:
@@ -75,8 +75,8 @@ def text_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) -> D
         width *= 2
         open_ = state.where(F.size("names") > 1)
         pairs = open_.select("uid", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("uid", "pos", "p.a", "p.b")
-        names = cut(_named(pairs.select("a", "b").distinct(), "a", "b"))
-        state = cut(_in_order(pairs.join(names, ["a", "b"])))
+        names = cut(_named(pairs.select("a", "b").distinct(), "a", "b"), NARROW)
+        state = cut(_in_order(pairs.join(names, ["a", "b"])), NARROW)
         done = done.unionByName(state.where(F.size("names") == 1).select("uid", F.element_at("names", 1).alias("name")))
     return rows.join(done, "uid")
 
@@ -88,9 +88,9 @@ def exact_duplicates(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64
     that too, one.  A null text counts as empty, and empty texts are equal.  Other columns are ignored.  An
     empty table gives an empty result.
     """
-    named = cut(text_names(docs, block=block, hash_bits=hash_bits))
+    named = cut(text_names(docs, block=block, hash_bits=hash_bits), NARROW)
     best = F.max(F.struct("doc_id", (-F.col("uid")).alias("u"))).alias("best")
-    groups = cut(named.groupBy("n_blocks", "name").agg(best, F.count(F.lit(1)).alias("group_size")))
+    groups = cut(named.groupBy("n_blocks", "name").agg(best, F.count(F.lit(1)).alias("group_size")), NARROW)
     out = named.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == -F.col("best.u")).alias("kept"), F.col("sha").alias("text_sha256"), "txt")
 

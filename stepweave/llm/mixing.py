@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, unit_hash
+from .common import NARROW, cut, n_words, unit_hash
 
 #: Ranges of keys for each source.
 CELLS = 2048
@@ -72,10 +72,10 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
         base = base.join(of, F.col("doc_id") == F.col("_q"), "left").drop("_q").withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0)))
     base = base.withColumn("_key", -F.log(unit_hash(F.col("doc_id"))) / F.col("_w")).drop("_w")
     base = base.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_key"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
-    base = cut(base.withColumn("_s", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))))
+    base = cut(base.withColumn("_s", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))), NARROW)
 
     cells = base.groupBy("_s", "source", "_cell").agg(F.sum("size").alias("_words"))
-    cells = cut(cells)  # at most CELLS rows for each source
+    cells = cut(cells, NARROW)  # at most CELLS rows for each source
     targets = source_targets(cells.groupBy("_s", "source").agg(F.sum("_words").alias("source_size")), budget=budget, most_epochs=most_epochs, weights=weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", whole).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")).drop("source", "weight")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import NARROW, cut
 from .textarrays import Words, portions
 
 CAPACITY = 4096
@@ -257,7 +257,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The pieces should be a cheap, stable table (a checkpoint): they are read twice.  Equal rows are interchangeable.
     """
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    groups = cut(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))  # at most capacity times SALTS rows
+    groups = cut(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), NARROW)  # at most capacity times SALTS rows
     histogram = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
     keys, sequences, offsets = _places(packing_plan(histogram, capacity), capacity)
     before = groups.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
@@ -283,4 +283,4 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: i
     Empty and null texts are one piece with the end id alone.  Rows with the same doc_id are separate
     documents.  An empty table gives an empty result; other columns are ignored.
     """
-    return pack(cut(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, end_id=end_id)), capacity)
+    return pack(cut(token_pieces(docs, tokenizer=tokenizer, capacity=capacity, end_id=end_id), NARROW), capacity)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import NARROW, cut
 
 #: Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,6 +105,6 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scope:
     """
     inside = lambda w: F.exists("base", lambda x: (x["s"] <= w["s"]) & (w["e"] <= x["e"]))
     found = parts(docs, text=text, doc_id=doc_id).withColumn("weak", F.array_distinct(F.filter("weak", lambda w: ~inside(w))))
-    found = cut(found.withColumn("uid", F.monotonically_increasing_id()))
+    found = cut(found.withColumn("uid", F.monotonically_increasing_id()), NARROW)
     out = found.join(linked(found, scope=scope), "uid", "left")
     return out.select("doc_id", "base", F.coalesce("spans", F.expr(f"cast(array() as {_NONE})")).alias("linked"))
