@@ -115,3 +115,35 @@ def pca_whiten(df: DataFrame, *, by: str, column: str, share: float = 0.95, most
         return pd.DataFrame({by: [frame[by].iloc[0]], "dimensions": [n], "explained": [float(cum[n - 1])]})
 
     return df.select(by, column).groupBy(by).applyInPandas(fit, f"{by} int, dimensions int, explained double")
+
+
+def train_matrix(df: DataFrame, *, domain: str, x: list[str], target: str, ridge: float = 1.0) -> DataFrame:
+    """(train, weights): a linear probe for each domain and for all but each domain.
+
+    A row goes to its own domain's fit and to the other domains' leave-one-out fits; each fit is one group of (features, target).
+    """
+    names = sorted(r[0] for r in df.select(domain).distinct().limit(1000).collect())  # domains are a handful of names
+    specs = F.array(F.col(domain), *[F.when(F.col(domain) != n, F.lit(f"without {n}")) for n in names])
+    rows = df.select(F.explode(F.array_compact(specs)).alias("train"), *x, F.col(target).alias("y"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        d = np.column_stack([np.ones(len(frame)), *[frame[c].to_numpy(float) for c in x]])
+        return pd.DataFrame({"train": [frame["train"].iloc[0]], "weights": [newton_logistic(d, frame["y"].to_numpy(float), np.ones(len(frame)), ridge).tolist()]})
+
+    return rows.groupBy("train").applyInPandas(fit, "train string, weights array<double>")
+
+
+def evaluate_matrix(df: DataFrame, weights: DataFrame, *, domain: str, x: list[str], target: str) -> DataFrame:
+    """(train, test, nll): each probe on each domain; the probes are a handful of rows."""
+    z = F.aggregate(F.zip_with(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in x]), "weights", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    loss = F.greatest(F.col("_z"), F.lit(0.0)) - F.col(target) * F.col("_z") + F.log1p(F.exp(-F.abs("_z")))
+    return df.crossJoin(F.broadcast(weights)).withColumn("_z", z).groupBy("train", F.col(domain).alias("test")).agg(F.round(F.avg(loss), 6).alias("nll"))
+
+
+def metric_bootstrap(units: DataFrame, *, unit: str, p: str, y: str, replicates: int, seed: str) -> DataFrame:
+    """(rep, nll, brier): a metric suite on resampled clusters, from the clusters' sums."""
+    from .metrics import nll
+    from .resampling import cluster_bootstrap
+
+    per = units.groupBy(unit).agg(F.avg(nll(F.col(p), F.col(y))).alias("nll"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier")).withColumn("stratum", F.lit("all"))
+    return cluster_bootstrap(per, "stratum", unit, ["nll", "brier"], replicates, seed).drop("stratum")

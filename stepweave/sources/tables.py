@@ -90,3 +90,19 @@ def index_vectors(features: DataFrame, index: str) -> DataFrame:
     if r["n"] and not (r["lo"] == 0 and r["hi"] == r["n"] - 1 and r["k"] == r["n"]):
         raise ValueError(f"{index} is no index of {r['n']} rows: {r}")
     return features
+
+
+def decode_lines(lines: DataFrame, schema: T.StructType | str, column: str = "value") -> DataFrame:
+    """JSON texts as rows of a declared schema; what does not parse fails the read."""
+    return lines.select(F.from_json(column, schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+
+
+def selected_lines(lines: DataFrame, ids: DataFrame, id_: str, column: str = "value") -> DataFrame:
+    """JSON texts whose id, taken by pattern, is wanted: the others are not decoded."""
+    own = F.regexp_extract(column, rf'"{id_}":\s*"?([^",}}]*)', 1)
+    return lines.withColumn("_id", own).join(ids.select(F.col(id_).cast("string").alias("_id")).distinct(), "_id", "left_semi").drop("_id")
+
+
+def file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files below a path, hashed where they are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
