@@ -29,24 +29,39 @@ ENDPOINT = r"""(?:https?|s3|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\x
 #: Kinds in the order in which spans of one place are listed.
 KINDS = ("assign", "access", "hex", "weak_assign", "weak_access", "weak_token", "endpoint")
 SCOPE = 300
+FOLD = 64
 _LEAST = {"assign": 12, "weak_assign": 6}
 _NONE = "array<struct<s:int,k:int,e:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0, look: Column | None = None) -> Column:
     """(start, kind, end) of the leftmost non-overlapping matches that ``keep``, a function of the group's text, accepts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     zipped = F.zip_with(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), own, lambda x, o: F.struct(x["g"].alias("g"), x["m"].alias("m"), o.alias("o")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_NONE})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         low, high = acc["at"] + x["g"], acc["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))
         one = F.array(F.struct(low.alias("s"), F.lit(kind).alias("k"), high.alias("e")))
         return F.struct(high.alias("at"), F.when(x["m"].isNotNull() & keep(x["o"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    # Places are running sums. They are taken within blocks of FOLD matches and over the blocks, so that appending to an array stays cheap in
+    # a text with very many matches.
+    def folded(z: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / FOLD).cast("int")), lambda b: F.slice(z, b * FOLD + 1, F.lit(FOLD)))
+        width = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["g"] + F.coalesce(x["m"], F.lit(0)))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = lambda w: F.aggregate(w, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        inner = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.expr(f"cast(array() as {_NONE})").alias("out")), step, lambda acc: acc["out"])
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(F.transform(bs, width)), inner)))
+
+    spans = _let(zipped, folded)
     seen = text.rlike(pattern) if look is None else look & text.rlike(pattern)
     return F.when(seen, spans).otherwise(F.expr(f"cast(array() as {_NONE})"))
 

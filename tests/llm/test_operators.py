@@ -87,6 +87,9 @@ def test_secret_base_spans(spark, odd, none):
         assert sorted((x.s, x.k, x.e) for x in got[i].base) == base_spans(t), t
     kinds = {i: sorted({secrets.KINDS[x.k] for x in r.linked}) for i, r in got.items()}
     assert kinds[6] == ["weak_access", "weak_assign"] and kinds[7] == [] and kinds[8] == [] and kinds[9] == ["endpoint", "weak_assign"]
+    many = "".join(f"é{i} secret=0123456789abcdefg{i} x\n" for i in range(1000))
+    row = secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string")).first()
+    assert sorted((x.s, x.k, x.e) for x in row.base) == base_spans(many)
     assert secrets.scan(odd).count() == len(TEXTS) and secrets.scan(none).count() == 0
 
 
