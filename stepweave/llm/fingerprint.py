@@ -1,7 +1,8 @@
 """Document fingerprints: MinHash signatures of word shingles.
 
 A fingerprint is the signature of a text's shingle set under ``HASHES`` universal hash
-permutations, cut to 16 bits each and written in hexadecimal.  The likeness of two fingerprints is the
+permutations, the low 16 bits of each minimum, written in hexadecimal.  (The minimum of many shingles is small, so its
+high bits would be zero in every long text.)  The likeness of two fingerprints is the
 share of equal places, which estimates the Jaccard similarity of the sets.  Near pairs come from
 bands of the signature, joined in Spark, and are verified on full sets (``near_groups``).
 """
@@ -36,7 +37,7 @@ def fingerprints_of(texts: list[str | None], *, shingle: int = SHINGLE, hashes:
             size += len(texts[to] or "")
             to += 1
         values, offsets = shingle_sets(Words(pa.array([x or "" for x in texts[at:to]], pa.large_string()), lower=lower), shingle)
-        out[at:to] = minhash(values, offsets, hashes, seed=7) >> np.uint32(16)
+        out[at:to] = minhash(values, offsets, hashes, seed=7) & np.uint32(0xFFFF)
         at = to
     return out
 

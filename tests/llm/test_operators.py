@@ -228,6 +228,16 @@ def test_fingerprints_of_edited_texts(spark, odd, none):
     assert groups[9] == groups[10] != groups[11]
 
 
+def test_long_unrelated_texts_are_unlike(spark):
+    from stepweave.llm import nearcore
+
+    texts = [" ".join(f"{c}{i}" for i in range(100_000)) for c in "ab"]
+    a, b = fingerprint.fingerprints_of(texts)
+    assert (a == b).mean() < 0.02 and len(set(a.tolist())) > 120
+    a, b = (r.sig for r in nearcore.signatures(docs_of(spark, texts), shingle=5, hashes=128, lower=True).collect())
+    assert sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) < 3
+
+
 # lines -------------------------------------------------------------------------------------------
 
 
