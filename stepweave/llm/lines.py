@@ -4,7 +4,8 @@ A line is parsed by its number of tokens, then by its leading tokens, to a leaf;
 with a digit, ``@`` or ``://`` are variable by their form.  In lines of ``FREE`` tokens at most, the leaf also holds one template for each
 field after the leading ones, with that field free, so a field that varies in words (a name, a
 month) is found by counting: no order of arrival decides, as it would if templates were grown line by line.
-Templates in enough documents are recurring, and their lines are dropped.
+Templates in enough documents are recurring, and their lines are dropped.  A line with fewer than ``CONSTANT`` constant tokens
+has no template but itself.
 
 Templates travel as 64-bit hashes, once for each document, and are counted before the shuffle; texts meet only the numbers of the lines to drop.
 """
@@ -73,6 +74,10 @@ class Lines:
         keep = fixed >= constant
         self.rows, self.numbers = [row[start][keep]], [number[start][keep]]
         self.templates = [mix(sums[keep] + mix(n[keep].astype(np.uint64)))]
+        few = ~keep  # a template of so few constants says too little: the line as it is
+        self.rows.append(row[start][few])
+        self.numbers.append(number[start][few])
+        self.templates.append(mix(_line_sums(mix(words.hash), start[few], end[few]) + mix(n[few].astype(np.uint64) ^ _ANY)))
         short = np.flatnonzero((n > lead) & (n <= free) & (fixed > constant))
         for i in range(lead, free):
             some = short[n[short] > i]
@@ -112,7 +117,8 @@ def drop_template_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, keep_text:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 (and kept_text), without the lines of recurring templates.
 
     A template recurs if it occurs in ``min_docs`` rows or more; all its lines go, in every row.  Lines are what newlines separate;
-    a null or empty text has none.  Lines with fewer than two constant tokens always stay.  Rows with the same
+    a null or empty text has none.  A line with fewer than two constant tokens (``Menu``, ``Page 12``, a line in a script without
+    spaces) counts as it is, with its variable tokens; blank lines always stay.  Rows with the same
     doc_id are separate texts.  Other columns are ignored, and an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("txt", F.xxhash64("t"))

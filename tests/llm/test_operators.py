@@ -254,6 +254,14 @@ def test_lines_of_recurring_templates_go(spark, odd, none):
     assert lines.drop_template_lines(odd).count() == len(TEXTS) and lines.drop_template_lines(none).count() == 0
 
 
+def test_lines_of_few_constants_go_if_equal(spark):
+    texts = [f"Menu\nPage 12\n12\n首页关于我们联系方式\n\nown{'abcdefghi'[i]}\nSheet {i}\n{i}" for i in range(9)]
+    got = {r.doc_id: r for r in lines.drop_template_lines(docs_of(spark, texts), keep_text=True).collect()}
+    for i in range(9):
+        assert got[i].kept_text == f"\nown{'abcdefghi'[i]}\nSheet {i}\n{i}" and got[i].n_dropped == 4
+    assert sum(r.n_dropped for r in lines.drop_template_lines(docs_of(spark, texts), min_docs=10).collect()) == 0
+
+
 # packing -----------------------------------------------------------------------------------------
 
 
