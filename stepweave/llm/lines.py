@@ -4,6 +4,9 @@ A line is parsed by its number of tokens, then by its leading tokens, to a leaf;
 with a digit, ``@`` or ``://`` are variable by their form.  In lines of ``FREE`` tokens at most, the leaf also holds one template for each
 field after the leading ones, with that field free, so a field that varies in words (a name, a
 month) is found by counting: no order of arrival decides, as it would if templates were grown line by line.
+Lines of any length are also merged at their leaf, with several fields free (``_merged``): a token that fewer than ``min_docs``
+documents of the leaf have at its place cannot be constant in a recurring template, and further fields are freed from the rarest
+token on, while ``SIMILAR`` per cent of the tokens stay constant.
 Templates in enough documents are recurring, and their lines are dropped.  A line with fewer than ``CONSTANT`` constant tokens
 has no template but itself.
 
@@ -20,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textarrays import _IPOW, _POW, _SPAN, Words, mix, portions
 
-#: Documents that make a template recurring; leading tokens; longest line with a free field; fewest constant tokens.
+#: Documents that make a template recurring; leading tokens; longest line with one free field by enumeration; fewest constant tokens.
 MIN_DOCS, LEAD, FREE, CONSTANT = 8, 2, 16, 2
+#: Per cent of the tokens of merged lines that are constant.
+SIMILAR = 60
 _ANY = np.uint64(0xA0761D6478BD642F)
 
 
@@ -88,6 +94,13 @@ class Lines:
                 self.rows.append(row[start][some])
                 self.numbers.append(number[start][some])
                 self.templates.append(mix(changed + mix(n[some].astype(np.uint64))))
+        # what is merged at the leaves: tokens in 32 bits, 0 for a variable one
+        self.tokens = np.where(variable, np.uint32(0), np.maximum(value >> np.uint64(32), np.uint64(1)).astype(np.uint32))
+        at = np.flatnonzero((n > lead) & (fixed >= constant) & (100 * fixed >= SIMILAR * n))
+        leaf = mix(n[at].astype(np.uint64))
+        for i in range(lead):
+            leaf = mix(leaf ^ value[start[at] + i])
+        self.merging = row[start][at], start[at], end[at], leaf, mix(sums[at] + mix(n[at].astype(np.uint64)))
         self.row, self.number, self.template = (np.concatenate(x) for x in (self.rows, self.numbers, self.templates))
 
 
@@ -113,6 +126,108 @@ def line_templates(texts: DataFrame, *, once: bool) -> DataFrame:
     return texts.select("doc_id", "txt", "t").mapInArrow(run, "doc_id long, txt long, line int, template long")
 
 
+def leaf_lines(texts: DataFrame) -> DataFrame:
+    """(leaf, template, n, tokens) of (t): the lines that can be merged, each template once for some texts, ``n`` of which have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "t", 1 << 19):
+                found = Lines(part.column("t"))
+                row, start, end, leaf, template = found.merging
+                order = np.lexsort((row, template))
+                row, template = row[order], template[order]
+                new = np.ones(len(row), bool)
+                new[1:] = template[1:] != template[:-1]
+                text = new.copy()
+                text[1:] |= row[1:] != row[:-1]
+                first = np.flatnonzero(new)
+                n = np.add.reduceat(text.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+                pick = order[first]
+                raw = memoryview(np.ascontiguousarray(found.tokens)).cast("B")
+                tokens = [bytes(raw[4 * a : 4 * b]) for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[pick].view(np.int64)), pa.array(template[first].view(np.int64)), pa.array(n), pa.array(tokens, pa.binary())], ["leaf", "template", "n", "tokens"])
+
+    return texts.select("t").mapInArrow(run, "leaf long, template long, n long, tokens binary")
+
+
+def _merged(tokens: np.ndarray, n: np.ndarray, min_docs: int, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Generalised templates of the lines of a leaf (a row of tokens each, in ``n`` documents): row, template, whether one row alone recurs.
+
+    A row frees first its tokens that fewer than ``min_docs`` documents share, then others, the rarest first.  Returned are
+    templates whose rows have ``min_docs`` documents in sum; a document with several of the rows counts more than once in it.
+    """
+    width = tokens.shape[1]
+    most = width - max(CONSTANT, -(-SIMILAR * width // 100))
+    _, inverse = np.unique(tokens.astype(np.uint64) | np.arange(width, dtype=np.uint64) << np.uint64(32), return_inverse=True)
+    inverse = inverse.reshape(tokens.shape)
+    count = np.bincount(inverse.reshape(-1), np.repeat(n, width))[inverse]
+    count[:, :lead] = np.inf
+    count[tokens == 0] = -1
+    rare = (count < min_docs).sum(1)
+    some = np.flatnonzero(rare <= most)
+    tokens, count, rare = tokens[some], count[some], rare[some]
+    value = np.where(tokens == 0, np.uint64(0), mix(mix(tokens.astype(np.uint64)) + np.arange(1, width + 1, dtype=np.uint64) * _ANY))
+    order = np.argsort(count, 1, kind="stable")[:, :most]
+    left = np.repeat(value.sum(1, dtype=np.uint64)[:, None], most + 1, 1)
+    left[:, 1:] -= np.cumsum(np.take_along_axis(value, order, 1), 1, dtype=np.uint64)
+    row, free = np.nonzero(np.arange(most + 1) >= rare[:, None])
+    template, inverse = np.unique(left[row, free], return_inverse=True)
+    row = some[row]
+    enough = np.bincount(inverse, n[row], len(template)) >= min_docs
+    sure = np.bincount(inverse, n[row] >= min_docs, len(template)) > 0
+    keep = enough[inverse]
+    return row[keep], template[inverse[keep]], sure[inverse[keep]]
+
+
+def merged_templates(found: DataFrame, *, min_docs: int) -> DataFrame:
+    """(template, wide) of ``leaf_lines``: templates of too few documents, with generalised ones that may recur; ``wide`` is null if one surely does."""
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of whole leaves; only what one leaf needs is held back."""
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf = batch.column("leaf").to_numpy()
+            begin = int(np.searchsorted(leaf, leaf[-1]))
+            if begin or (last is not None and last != leaf[-1]):
+                yield pa.Table.from_batches([*rest, batch.slice(0, begin)]).combine_chunks()
+                rest = []
+            rest.append(batch.slice(begin))
+            last = leaf[-1]
+        if rest:
+            yield pa.Table.from_batches(rest).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in leaves(batches):
+            if not table.num_rows:
+                continue
+            leaf, template, n = (table[c].to_numpy() for c in ("leaf", "template", "n"))
+            start = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+            end = np.append(start[1:], len(leaf))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i in np.flatnonzero((np.add.reduceat(n, start) >= min_docs) & (template[start] != template[end - 1])).tolist():
+                a, b = int(start[i]), int(end[i])
+                first = a + np.flatnonzero(np.append(True, template[a + 1 : b] != template[a : b - 1]))
+                docs = np.add.reduceat(n[a:b], first - a)
+                raw = table["tokens"].take(pa.array(first)).to_pylist()
+                row, wide, sure = _merged(np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1), docs, min_docs)
+                safe = np.zeros(len(docs), bool)
+                safe[row[sure]] = True
+                safe &= docs < min_docs  # the others recur by themselves
+                open_ = ~safe[row] & (docs[row] < min_docs)
+                own = template[first]
+                done = np.flatnonzero(safe)
+                wide = mix(wide[open_] + leaf[a : a + 1].view(np.uint64)).view(np.int64)
+                out += [(own[done], np.zeros(len(done), np.int64), np.ones(len(done), bool)), (own[row[open_]], wide, np.zeros(len(wide), bool))]
+            if out:
+                own, wide, null = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(wide, mask=null)], ["template", "wide"])
+
+    return found.repartition("leaf").sortWithinPartitions("leaf", "template").mapInArrow(run, "template long, wide long")
+
+
 def drop_template_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256 (and kept_text), without the lines of recurring templates.
 
@@ -123,7 +238,14 @@ def drop_template_lines(docs: DataFrame, *, min_docs: int = MIN_DOCS, keep_text:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("txt", F.xxhash64("t"))
     recurring = line_templates(texts, once=True).groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
-    dropped = line_templates(texts, once=False).join(recurring, "template").groupBy("doc_id", "txt").agg(F.collect_set("line").alias("gone"))
+    known = recurring.withColumn("wide", F.lit(None).cast("long")).unionByName(merged_templates(leaf_lines(texts), min_docs=min_docs))
+    hits = cut(line_templates(texts, once=False).join(known, "template").select("doc_id", "txt", "line", "wide"))
+    # the documents of a generalised template, each once; equal rows are separate texts
+    unsure = hits.where(F.col("wide").isNotNull())
+    copies = unsure.groupBy("wide", "doc_id", "txt", "line").agg(F.count(F.lit(1)).alias("n")).groupBy("wide", "doc_id", "txt").agg(F.max("n").alias("n"))
+    wide = copies.groupBy("wide").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("wide")
+    gone = hits.where(F.col("wide").isNull()).unionByName(unsure.join(wide, "wide", "left_semi").select(hits.columns))
+    dropped = gone.groupBy("doc_id", "txt").agg(F.collect_set("line").alias("gone"))
     right = dropped.select(F.col("doc_id").alias("d"), F.col("txt").alias("x"), "gone")
     joined = texts.join(right, texts["doc_id"].eqNullSafe(right["d"]) & (texts["txt"] == right["x"]), "left").select("doc_id", "t", "gone")
 

@@ -262,6 +262,21 @@ def test_lines_of_few_constants_go_if_equal(spark):
     assert sum(r.n_dropped for r in lines.drop_template_lines(docs_of(spark, texts), min_docs=10).collect()) == 0
 
 
+def test_lines_with_several_free_fields_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    long = "this notice of the archive was sent by {} to all the readers of our pages and by {} to every other one who asked".format
+    texts = [f"Posted by {word()} in {word()} today\n{long(word(), word())}\nwe have {word()} {word()} {word()} {word()}" for _ in range(9)]
+    texts.append("\n".join(f"Seen by {word()} near {word()} today" for _ in range(20)))  # one document alone
+    texts += [f"Seen by {word()} near {word()} today" for _ in range(6)]
+    texts += [f"Told by {'ann' if i % 2 else 'bob'} in {'spain' if i % 3 else 'italy'} of {word()} and so on" for i in range(9)]
+    got = {r.doc_id: r for r in lines.drop_template_lines(docs_of(spark, texts), keep_text=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].kept_text == (t.split("\n")[2] if i < 9 else t if i < 16 else ""), (i, got[i].kept_text)
+    again = lines.drop_template_lines(docs_of(spark, texts).repartition(3), keep_text=True).collect()
+    assert {r.doc_id: r for r in again} == got
+
+
 # packing -----------------------------------------------------------------------------------------
 
 
