@@ -38,15 +38,13 @@ def _rated(spark, d):
 
 @query("balanced_parents", "WIN22")
 def balanced_parents(spark, d):
-    near = _rated(spark, d).withColumn("rn", F.row_number().over(W.partitionBy("base_model", "domain", "rate").orderBy("tie"))).where("rn <= 24")
-    return greedy.balanced_parents(near, model="base_model", trace="trace_id", domain="domain", rate="rate", tie="tie", quotas=(("near", 0.35, 0.65, 24), ("high", 0.75, 1.0, 8), ("low", 0.0, 0.25, 8)))
+    return greedy.balanced_parents(_rated(spark, d), model="base_model", trace="trace_id", domain="domain", rate="rate", tie="tie", quotas=(("near", 0.35, 0.65, 24), ("high", 0.75, 1.0, 8), ("low", 0.0, 0.25, 8)))
 
 
 @query("quartile_quota", "TOP08")
 def quartile_quota(spark, d):
     w = W.partitionBy("base_model", "domain")
     q = _rated(spark, d).withColumn("quartile", F.ntile(4).over(w.orderBy("p", "tie"))).withColumn("grp", F.concat_ws("/", "base_model", "domain"))
-    q = q.withColumn("rn", F.row_number().over(W.partitionBy("grp", "quartile").orderBy("tie"))).where("rn <= 16")
     return greedy.quartile_quota(q, by="grp", quartile="quartile", trace="trace_id", order="tie", each=4)
 
 

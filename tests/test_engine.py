@@ -235,6 +235,51 @@ def test_greedy_selections_meet_quotas(spark):
     assert sorted(r["count"] for r in sample) == [10, 10, 10]
 
 
+def test_greedy_queries_equal_uncapped_picks_with_a_hot_trace(spark, tmp_path):
+    from pyspark.sql import Window as W
+
+    from stepweave.plans import sequential
+
+    rng = random.Random(6)
+    line = lambda o, k: (o, k, rng.randint(1, 99), 1, 10.0, float(rng.randint(1, 50)), rng.randint(0, 10) / 100, 0.04, "A")
+    lines = [line(1, k) for k in range(1500)] + [line(o, k) for o in range(2, 150) for k in range(2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, 4, "ab"[o % 2]) for o in range(1, 150)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    rated = sequential._rated(spark, str(tmp_path))
+    rows = rated.select("base_model", "trace_id", "domain", "rate", "tie", F.ntile(4).over(W.partitionBy("base_model", "domain").orderBy("p", "tie")).alias("q")).collect()
+
+    quotas = [("near", 0.35, 0.65, 24), ("high", 0.75, 1.0, 8), ("low", 0.0, 0.25, 8)]
+    want, taken = [], set()
+    for name, lo, hi, quota in sorted(quotas, key=lambda b: (len({r.trace_id for r in rows if b[1] <= r.rate <= b[2]}) / b[3], b[0])):
+        count = {"a": 0, "b": 0}
+        for _ in range(quota):
+            free = [(max(lo - r.rate, r.rate - hi, 0), count[r.domain], r.tie, r) for r in rows if r.trace_id not in taken]
+            d, _, _, r = min(free, key=lambda x: x[:3])
+            taken.add(r.trace_id)
+            count[r.domain] += 1
+            want.append((r.base_model, name, r.trace_id, r.rate, d > 0))
+    assert [tuple(r) for r in sequential.balanced_parents(spark, str(tmp_path)).collect()] == want
+
+    want = []
+    for domain in "ab":
+        own = sorted((r for r in rows if r.domain == domain), key=lambda r: r.tie)
+        used, chosen, need = set(), [], dict.fromkeys(range(1, 5), 4)
+        for fresh in (True, False):
+            while True:
+                before = len(chosen)
+                for q in need:
+                    some = [r for r in own if r.q == q and r not in chosen and not (fresh and r.trace_id in used)]
+                    if need[q] and some:
+                        chosen.append(some[0])
+                        used.add(some[0].trace_id)
+                        need[q] -= 1
+                if len(chosen) == before:
+                    break
+        want += [(f"m0/{domain}", r.q, r.trace_id, i + 1) for i, r in enumerate(chosen)]
+    assert len({t for g, _, t, _ in want if g == "m0/b"}) == 16
+    assert sorted(tuple(r) for r in sequential.quartile_quota(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 # sources, sinks, streams -------------------------------------------------------------------------
 
 
