@@ -228,6 +228,23 @@ def test_fingerprints_of_edited_texts(spark, odd, none):
     assert groups[9] == groups[10] != groups[11]
 
 
+def test_sequential_test_drops_no_more_than_stated():
+    from math import comb
+
+    from stepweave.llm.nearcore import least_matches
+
+    for step in (16, 32):
+        open_, lost = {0: 1.0}, 0.0
+        for least in least_matches(128, step, 80, 1e-4):
+            after = collections.Counter()
+            for m, p in open_.items():
+                for k in range(step + 1):
+                    after[m + k] += p * comb(step, k) * 0.8**k * 0.2 ** (step - k)
+            lost += sum(p for m, p in after.items() if m < least)
+            open_ = {m: p for m, p in after.items() if m >= least}
+        assert lost <= 1e-4
+
+
 def test_long_unrelated_texts_are_unlike(spark):
     from stepweave.llm import nearcore
 
