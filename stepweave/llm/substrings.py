@@ -3,8 +3,12 @@
 Edges of the graph are runs of ``length`` words.  Each edge belongs to its minimizer, the word ``ANCHOR``-mer with the smallest hash in it, and
 neighbouring edges with one minimizer travel as one row (a super-edge), keyed by it; so equal
 edges meet in one partition wherever they come from, at about six bytes an edge.  There, edges that occur
-twice are found, and the nonbranching runs of them in a row become paths.  Paths of a document are then glued at the borders of buckets by a join
-on their source coordinates; every word that a repeated edge covers goes.
+twice are found, and consecutive ones of a row become one span.  The spans of a document are gathered by its source coordinates; every word that a
+repeated edge covers goes.
+
+Not done: degrees of nodes are not looked at and spans are not compacted to nonbranching paths, since the words that go are
+those that repeated edges cover, whatever the paths; and repeated spans are not compared word by word: edges are equal if their key
+and 48 bits of their hash are, joined to 64 bits.
 
 A minimizer that very many texts share would be one large bucket.  Such minimizers are found in a sample (this only steers the work); their
 edges are keyed by the whole edge instead, and each task first joins equal ones of its own: what occurs twice in
