@@ -1,14 +1,12 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line is parsed by its number of tokens, then by its leading tokens, to a leaf; variable fields become ``<*>``.  Tokens
-with a digit, ``@`` or ``://`` are variable by their form.  In lines of ``FREE`` tokens at most, the leaf also holds one template for each
-field after the leading ones, with that field free, so a field that varies in words (a name, a
-month) is found by counting: no order of arrival decides, as it would if templates were grown line by line.
-Lines of any length are also merged at their leaf, with several fields free (``_merged``): a token that fewer than ``min_docs``
-documents of the leaf have at its place cannot be constant in a recurring template, and further fields are freed from the rarest
-token on, while ``SIMILAR`` per cent of the tokens stay constant.
-Templates in enough documents are recurring, and their lines are dropped.  A line with fewer than ``CONSTANT`` constant tokens
-has no template but itself.
+with a digit, ``@`` or ``://`` are variable by their form.  A leaf knows in how many documents each token stands at each place.  A
+line's generalised template keeps the leading tokens and those that are the most frequent at their places, ``SIMILAR`` per cent of all, and
+frees the rest; so lines meet whatever their length and the number of fields that vary, and no order of arrival
+decides, as it would if templates were grown line by line.
+Templates in enough documents are recurring, as lines have them or generalised, and their lines are dropped.  A line with fewer than
+``CONSTANT`` constant tokens has no template but itself.
 
 Templates travel as 64-bit hashes, once for each document, and are counted before the shuffle; texts meet only the numbers of the lines to drop.
 """
@@ -16,47 +14,39 @@ Templates travel as 64-bit hashes, once for each document, and are counted befor
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textarrays import _IPOW, _POW, _SPAN, Words, mix, portions
+from .textarrays import Words, mix, portions
 
-#: Documents that make a template recurring; leading tokens; longest line with one free field by enumeration; fewest constant tokens.
-MIN_DOCS, LEAD, FREE, CONSTANT = 8, 2, 16, 2
+#: Documents that make a template recurring; leading tokens; fewest constant tokens.
+MIN_DOCS, LEAD, CONSTANT = 8, 2, 2
 #: Per cent of the tokens of merged lines that are constant.
 SIMILAR = 60
+#: Tokens of a leaf that are held in memory at once; a larger leaf is spooled.
+HELD = 1 << 20
 _ANY = np.uint64(0xA0761D6478BD642F)
 
 
 def _line_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial sums of runs of values, each with the powers counted from its own start."""
-    out = np.zeros(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        low = start[at]
-        to = max(at + 1, int(np.searchsorted(end, low + _SPAN, "right")))
-        if end[to - 1] - low > _SPAN:  # one line longer than a span: digest of its values
-            out[at] = int.from_bytes(hashlib.blake2b(values[low : end[at]].tobytes(), digest_size=8).digest(), "little")
-            at += 1
-            continue
-        high = end[to - 1]
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values[low:high] * _POW[: high - low], out=sums[1:])
-        s, e = start[at:to] - low, end[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * _IPOW[s]
-        at = to
-    return out
+    """Sums over runs of values, each mixed with its place in the run."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(values), dtype=np.uint64) - np.repeat(start, end - start).astype(np.uint64)
+    return np.add.reduceat(mix(values + place * _ANY), start)
 
 
 class Lines:
-    """Templates of the lines of a column: owner row, line number in the row, template; several rows a line if fields are free."""
+    """Templates of the lines of a column: owner row, line number in the row, template; and what can be merged at the leaves."""
 
-    def __init__(self, col: pa.Array, lead: int = LEAD, free: int = FREE, constant: int = CONSTANT):
+    def __init__(self, col: pa.Array, lead: int = LEAD, constant: int = CONSTANT):
         words = Words(col)
         data = words.raw
         odd = np.zeros(len(data) + 1, np.int64)
@@ -73,35 +63,20 @@ class Lines:
         new = np.ones(len(words), bool)
         new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
         start = np.flatnonzero(new)
-        end = np.append(start[1:], len(words))
+        end = np.append(start[1:], len(words))[: len(start)]
         n = end - start
         fixed = np.add.reduceat((~variable).astype(np.int64), start) if len(start) else n
-        sums = _line_sums(value, start, end)
-        keep = fixed >= constant
-        self.rows, self.numbers = [row[start][keep]], [number[start][keep]]
-        self.templates = [mix(sums[keep] + mix(n[keep].astype(np.uint64)))]
-        few = ~keep  # a template of so few constants says too little: the line as it is
-        self.rows.append(row[start][few])
-        self.numbers.append(number[start][few])
-        self.templates.append(mix(_line_sums(mix(words.hash), start[few], end[few]) + mix(n[few].astype(np.uint64) ^ _ANY)))
-        short = np.flatnonzero((n > lead) & (n <= free) & (fixed > constant))
-        for i in range(lead, free):
-            some = short[n[short] > i]
-            some = some[~variable[start[some] + i]]
-            if len(some):
-                at = start[some] + i
-                changed = sums[some] + (_ANY - value[at]) * _POW[i]
-                self.rows.append(row[start][some])
-                self.numbers.append(number[start][some])
-                self.templates.append(mix(changed + mix(n[some].astype(np.uint64))))
+        size = mix(n.astype(np.uint64))
+        self.row, self.number = row[start], number[start]
+        # a template of too few constants says too little: the line as it is
+        self.template = mix(np.where(fixed >= constant, _line_sums(value, start, end) + size, _line_sums(mix(words.hash), start, end) + (size ^ _ANY)))
         # what is merged at the leaves: tokens in 32 bits, 0 for a variable one
         self.tokens = np.where(variable, np.uint32(0), np.maximum(value >> np.uint64(32), np.uint64(1)).astype(np.uint32))
         at = np.flatnonzero((n > lead) & (fixed >= constant) & (100 * fixed >= SIMILAR * n))
-        leaf = mix(n[at].astype(np.uint64))
+        leaf = size[at]
         for i in range(lead):
             leaf = mix(leaf ^ value[start[at] + i])
-        self.merging = row[start][at], start[at], end[at], leaf, mix(sums[at] + mix(n[at].astype(np.uint64)))
-        self.row, self.number, self.template = (np.concatenate(x) for x in (self.rows, self.numbers, self.templates))
+        self.merging = self.row[at], start[at], end[at], leaf, self.template[at]
 
 
 def line_templates(texts: DataFrame, *, once: bool) -> DataFrame:
@@ -150,80 +125,118 @@ def leaf_lines(texts: DataFrame) -> DataFrame:
     return texts.select("t").mapInArrow(run, "leaf long, template long, n long, tokens binary")
 
 
-def _merged(tokens: np.ndarray, n: np.ndarray, min_docs: int, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Generalised templates of the lines of a leaf (a row of tokens each, in ``n`` documents): row, template, whether one row alone recurs.
+class _Leaf:
+    """The lines of a leaf: rows of tokens, with their own template and the number of documents that have it."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.constant = max(CONSTANT, -(-SIMILAR * width // 100))
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []  # own templates and documents; the tokens are in the spool
+        self.spool = tempfile.SpooledTemporaryFile(max_size=8 * HELD)  # noqa: SIM115
+
+    def _places(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens.astype(np.uint64) | np.arange(self.width, dtype=np.uint64) << np.uint64(32)
+
+    def add(self, own: np.ndarray, docs: np.ndarray, tokens: np.ndarray) -> None:
+        keys, inverse = np.unique(self._places(tokens), return_inverse=True)
+        counts = np.bincount(inverse.reshape(-1), np.repeat(docs, self.width), len(keys)).astype(np.int64)
+        if len(self.keys):
+            keys, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([self.counts, counts]), len(keys)).astype(np.int64)
+        self.keys, self.counts = keys, counts
+        self.chunks.append((own, docs))
+        self.spool.write(tokens.tobytes())
+
+    def generalised(self, min_docs: int, lead: int = LEAD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Own templates, documents, generalised templates and whether enough documents have each of their tokens, chunk by chunk."""
+        self.spool.seek(0)
+        for own, docs in self.chunks:
+            tokens = np.frombuffer(self.spool.read(4 * self.width * len(own)), np.uint32).reshape(len(own), self.width)
+            places = self._places(tokens)
+            count = self.counts[np.searchsorted(self.keys, places)]
+            count[:, :lead] = np.iinfo(np.int64).max
+            count[tokens == 0] = -1
+            kept = np.argsort(-count, 1, kind="stable")[:, : self.constant]
+            value = np.where(tokens == 0, np.uint64(0), mix(mix(places) + _ANY))
+            common = ((count >= min_docs) | (tokens == 0))[np.arange(len(own))[:, None], kept].all(1)
+            yield own, docs, mix(np.take_along_axis(value, kept, 1).sum(1, dtype=np.uint64) + np.uint64(self.width)), common
+        self.spool.close()
 
-    A row frees first its tokens that fewer than ``min_docs`` documents share, then others, the rarest first.  Returned are
-    templates whose rows have ``min_docs`` documents in sum; a document with several of the rows counts more than once in it.
+
+def merged_templates(found: DataFrame, *, min_docs: int) -> DataFrame:
+    """(template, wide) of ``leaf_lines``: templates of too few documents, with the generalised one if it may recur.
+
+    Lines come by leaf and template.  Of a leaf, at most ``HELD`` tokens are worked on at once; the rest is spooled to the task's
+    temporary file, and only the counts of its distinct tokens stay in memory.
     """
-    width = tokens.shape[1]
-    most = width - max(CONSTANT, -(-SIMILAR * width // 100))
-    _, inverse = np.unique(tokens.astype(np.uint64) | np.arange(width, dtype=np.uint64) << np.uint64(32), return_inverse=True)
-    inverse = inverse.reshape(tokens.shape)
-    count = np.bincount(inverse.reshape(-1), np.repeat(n, width))[inverse]
-    count[:, :lead] = np.inf
-    count[tokens == 0] = -1
-    rare = (count < min_docs).sum(1)
-    some = np.flatnonzero(rare <= most)
-    tokens, count, rare = tokens[some], count[some], rare[some]
-    value = np.where(tokens == 0, np.uint64(0), mix(mix(tokens.astype(np.uint64)) + np.arange(1, width + 1, dtype=np.uint64) * _ANY))
-    order = np.argsort(count, 1, kind="stable")[:, :most]
-    left = np.repeat(value.sum(1, dtype=np.uint64)[:, None], most + 1, 1)
-    left[:, 1:] -= np.cumsum(np.take_along_axis(value, order, 1), 1, dtype=np.uint64)
-    row, free = np.nonzero(np.arange(most + 1) >= rare[:, None])
-    template, inverse = np.unique(left[row, free], return_inverse=True)
-    row = some[row]
-    enough = np.bincount(inverse, n[row], len(template)) >= min_docs
-    sure = np.bincount(inverse, n[row] >= min_docs, len(template)) > 0
-    keep = enough[inverse]
-    return row[keep], template[inverse[keep]], sure[inverse[keep]]
 
+    def joined(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Templates, documents and tokens of the lines of one leaf, equal templates joined."""
+        table = pa.Table.from_batches(parts)
+        template, n = (table[c].to_numpy() for c in ("template", "n"))
+        first = np.flatnonzero(np.append(True, template[1:] != template[:-1]))
+        raw = table["tokens"].take(pa.array(first)).to_pylist()
+        return template[first], np.add.reduceat(n, first), np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1)
+
+    def close(leaf: _Leaf, seed: int) -> Iterator[pa.RecordBatch]:
+        several = len(leaf.chunks) > 1
+        for own, docs, wide, common in leaf.generalised(min_docs):
+            open_ = common & (docs < min_docs)  # the others recur by themselves
+            if not several:  # all of the leaf is here
+                _, inverse = np.unique(wide, return_inverse=True)
+                open_ &= (np.bincount(inverse, docs) >= min_docs)[inverse]
+            if open_.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[open_]), pa.array(mix(wide[open_] + np.array([seed]).view(np.uint64)).view(np.int64))], ["template", "wide"])
 
-def merged_templates(found: DataFrame, *, min_docs: int) -> DataFrame:
-    """(template, wide) of ``leaf_lines``: templates of too few documents, with generalised ones that may recur; ``wide`` is null if one surely does."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # lines of one leaf
+        size, last, large = 0, None, None
+
+        def feed(parts: list[pa.RecordBatch], hold: bool) -> list[pa.RecordBatch]:
+            """Adds lines to the large leaf; those of the last template are held back, as more of them may follow."""
+            nonlocal large
+            own, docs, tokens = joined(parts)
+            left = []
+            if hold:
+                one = parts[-1].slice(parts[-1].num_rows - 1)
+                left = [one.set_column(one.schema.get_field_index("n"), "n", pa.array(docs[-1:]))]
+                own, docs, tokens = own[:-1], docs[:-1], tokens[:-1]
+            if len(own):
+                large = large or _Leaf(tokens.shape[1])
+                large.add(own, docs, tokens)
+            return left
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal large, rest, size
+            if rest and (large or (sum(pa.compute.sum(x.column("n")).as_py() or 0 for x in rest) >= min_docs and rest[0].column("template")[0] != rest[-1].column("template")[-1])):
+                feed(rest, False)
+            if large:
+                yield from close(large, last)
+            large, rest, size = None, [], 0
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Tables of whole leaves; only what one leaf needs is held back."""
-        rest: list[pa.RecordBatch] = []
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf = batch.column("leaf").to_numpy()
-            begin = int(np.searchsorted(leaf, leaf[-1]))
-            if begin or (last is not None and last != leaf[-1]):
-                yield pa.Table.from_batches([*rest, batch.slice(0, begin)]).combine_chunks()
-                rest = []
-            rest.append(batch.slice(begin))
-            last = leaf[-1]
-        if rest:
-            yield pa.Table.from_batches(rest).combine_chunks()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in leaves(batches):
-            if not table.num_rows:
-                continue
-            leaf, template, n = (table[c].to_numpy() for c in ("leaf", "template", "n"))
+            leaf, template, n = (batch.column(c).to_numpy() for c in ("leaf", "template", "n"))
             start = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
             end = np.append(start[1:], len(leaf))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i in np.flatnonzero((np.add.reduceat(n, start) >= min_docs) & (template[start] != template[end - 1])).tolist():
+            # leaves inside the batch that cannot merge anything are passed over
+            able = (np.add.reduceat(n, start) >= min_docs) & (template[start] != template[end - 1])
+            able[0] = able[-1] = True
+            for i in np.flatnonzero(able).tolist():
                 a, b = int(start[i]), int(end[i])
-                first = a + np.flatnonzero(np.append(True, template[a + 1 : b] != template[a : b - 1]))
-                docs = np.add.reduceat(n[a:b], first - a)
-                raw = table["tokens"].take(pa.array(first)).to_pylist()
-                row, wide, sure = _merged(np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1), docs, min_docs)
-                safe = np.zeros(len(docs), bool)
-                safe[row[sure]] = True
-                safe &= docs < min_docs  # the others recur by themselves
-                open_ = ~safe[row] & (docs[row] < min_docs)
-                own = template[first]
-                done = np.flatnonzero(safe)
-                wide = mix(wide[open_] + leaf[a : a + 1].view(np.uint64)).view(np.int64)
-                out += [(own[done], np.zeros(len(done), np.int64), np.ones(len(done), bool)), (own[row[open_]], wide, np.zeros(len(wide), bool))]
-            if out:
-                own, wide, null = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(wide, mask=null)], ["template", "wide"])
+                if last is not None and last != leaf[a]:
+                    yield from flush()
+                last = int(leaf[a])
+                part = batch.slice(a, b - a)
+                rest.append(part)
+                offsets = np.frombuffer(part.column("tokens").buffers()[1], np.int32)[part.column("tokens").offset :]
+                size += int(offsets[b - a] - offsets[0]) // 4
+                if size > HELD:
+                    rest = feed(rest, True)
+                    size = 0
+        yield from flush()
 
     return found.repartition("leaf").sortWithinPartitions("leaf", "template").mapInArrow(run, "template long, wide long")
 

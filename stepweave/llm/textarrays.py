@@ -1,8 +1,8 @@
 """Words of Arrow text columns as numpy arrays.
 
 Texts stay the bytes of Arrow's buffers: no Python string is made for a word.
-A word is hashed to 64 bits by differences of a running polynomial sum, so the
-cost is a few passes over the bytes whatever the length of the words.
+A word is hashed to 64 bits in lanes of eight bytes, each mixed before the next is added, so that no
+algebraic structure of a word makes it collide.  Where equal hashes must mean equal words, ``Words.same`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -13,23 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_SPAN = 1 << 18  # bytes (or words) of one polynomial sum
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    filled = 1
-    while filled < n:
-        step = min(filled, n - filled)
-        out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 1 << 64))
-        filled += step
-    return out
-
-
-_POW, _IPOW = _powers(_BASE, _SPAN + 1), _powers(_INV, _SPAN + 1)
+#: Words of more bytes are hashed by their BLAKE2 digest.
+_LONG = 256
+#: What of a lane of eight bytes belongs to a word with so many bytes left.
+_PART = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,23 +104,41 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes that begin at each place."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+
     def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        at, n = 0, len(self.start)
-        while at < n:
-            low = self.start[at]
-            to = int(np.searchsorted(self.end, low + _SPAN, "right"))
-            if to <= at:  # one word that is longer than a span
-                whole = self.data[low : self.end[at]].tobytes()
-                out[at] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
-                at += 1
-                continue
-            high = self.end[to - 1]
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum((self.data[low:high].astype(np.uint64) + np.uint64(1)) * _POW[: high - low], out=sums[1:])
-            s, e = self.start[at:to] - low, self.end[at:to] - low
-            out[at:to] = mix((sums[e] - sums[s]) * _IPOW[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            at = to
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+        lanes = self._lanes()
+        open_, at, left = slice(None), self.start, size
+        number = 0
+        while len(at):
+            lane = lanes[at] & _PART[np.minimum(left, 8)]
+            number += 1
+            out[open_] = mix(mix(out[open_] + lane) ^ (lane * np.uint64(0xC2B2AE3D27D4EB4F + 2 * number)))
+            more = np.flatnonzero((left > 8) & (size[open_] <= _LONG))
+            open_ = np.arange(len(size))[open_][more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    def same(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether words (by number) are equal byte by byte, pair by pair."""
+        size = (self.end - self.start)[one]
+        out = size == (self.end - self.start)[other]
+        lanes = self._lanes()
+        open_ = np.flatnonzero(out)
+        a, b, left = self.start[one[open_]], self.start[other[open_]], size[open_]
+        while len(open_):
+            part = _PART[np.minimum(left, 8)]
+            equal = lanes[a] & part == lanes[b] & part
+            out[open_[~equal]] = False
+            more = np.flatnonzero(equal & (left > 8))
+            open_, a, b, left = open_[more], a[more] + 8, b[more] + 8, left[more] - 8
         return out
 
     def counts(self) -> np.ndarray:
@@ -141,20 +146,23 @@ class Words:
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``k`` neighbouring words; runs across rows are the caller's to leave out."""
+    """A 64-bit hash of each run of ``k`` neighbouring words; runs across rows are the caller's to leave out.
+
+    Runs of 2, 4, 8, ... words are mixed from two of half their length, and the runs of k from those that add up to k.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    step = _SPAN - k
-    for at in range(0, n, step):
-        to = min(n, at + step)
-        part = words[at : to + k - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(mix(part) * _POW[: len(part)], out=sums[1:])
-        i = np.arange(to - at)
-        out[at:to] = mix((sums[i + k] - sums[i]) * _IPOW[i] + np.uint64(k))
-    return out
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    out, have, run, size = None, 0, mix(words), 1
+    while True:
+        if k & size:
+            out = run[: len(words) - size + 1] if out is None else mix(out[: len(words) - have - size + 1] * odd + run[have : len(words) - size + 1])
+            have += size
+        if have == k:
+            return mix(out[:n] + np.uint64(k))
+        run = mix(run[: len(run) - size] * odd + run[size:] + np.uint64(size))
+        size *= 2
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
