@@ -17,13 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; one is made only where none is set."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, one is made if the session runs on this machine alone, as in tests; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="stepweave-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a few numbers that one task handles in a second or so.
 NARROW = 250_000
 
@@ -39,6 +53,11 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return out if rows is None else out.coalesce(max(1, -(-out.count() // rows)))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NARROW, cut
+from .common import NARROW, cut, packed
 
 BLOCK = 1024
 
@@ -100,12 +100,11 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
     Rows equal in id and text are interchangeable: as many of them stay as are kept.
     """
-    names = docs.columns
-    kept = decided.groupBy(F.col("doc_id").alias("_d"), F.col("txt").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("int")).alias("_stay")).where("_stay > 0")
-    keyed = docs.withColumn("_txt", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_txt"] == kept["_h"]))
-    some = found.where("_stay < _rows").withColumn("_no", F.row_number().over(W.partitionBy("_d", "_h").orderBy(F.lit(0)))).where("_no <= _stay").drop("_no")
-    return found.where("_stay = _rows").unionByName(some).select(*names)
+    kept = decided.groupBy(F.col("doc_id").alias("d"), F.col("txt").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("stay")).where("stay > 0")
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("txt"))
+    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["d"]) & (rows["txt"] == kept["h"]))
+    some = found.where("stay < n").withColumn("no", F.row_number().over(W.partitionBy("d", "h").orderBy(F.lit(0)))).where("no <= stay").drop("no")
+    return found.where("stay = n").unionByName(some).select("row.*")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ lookup a language and whole texts are read at tens of MB a second.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,16 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import column_bytes, portions
+from .common import packed
+from .textarrays import column_bytes
 
 BITS = 16
 BUCKETS = 1 << BITS
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
-#: Bound of the sample: about so many labelled texts of each language, of so many characters at most.
-PER_LANGUAGE, LONGEST = 1200, 20_000
+#: Bound of the sample: about so many labelled texts of each language; of a longer text, a stretch of so many characters is read.
+PER_LANGUAGE, STRETCH = 1600, 2000
 #: Share of right predictions that the rejection may cost, as measured on the calibration rows.
 REJECTED = 0.0005
+#: Share of wrong ones among the predictions that are not rejected, as measured on the calibration rows.
+WRONG = 0.005
 #: No prediction with a score of at least this is rejected.
 MOST_REJECTED = 0.5
 
@@ -93,28 +95,27 @@ class LanguageModel:
         rejected.  A prediction whose score is below the calibrated threshold keeps its language and is
         marked as rejected.
         """
-        model = self
+        model = docs.sparkSession.sparkContext.broadcast(self)
         lettered = F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-        inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(lettered, F.col(text).cast("string")).alias("_text"))
-        schema = f"row {inner.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = np.asarray(model.languages, object)
-            for batch in batches:
-                for part in portions(batch, "_text", 1 << 20):
-                    col = part.column("_text")
-                    known = col.is_valid().to_numpy(zero_copy_only=False)
-                    if len(names):
-                        p = model.scores(*column_bytes(col))
-                        best = p.argmax(1)
-                        label, score = names[best], p[np.arange(len(best)), best]
-                    else:
-                        known[:] = False
-                        label, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
-                    label, score = np.where(known, label, UNKNOWN), np.where(known, score, 0.0)
-                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(label.tolist(), pa.string()), pa.array(score), pa.array(~known | (score < model.least_score))], ["row", "lang_pred", "score", "rejected"])
-
-        return inner.mapInArrow(run, schema)
+
+        def run(texts: pa.Array) -> pa.Array:
+            own = model.value
+            names = np.asarray([*own.languages, UNKNOWN], object)
+            known = texts.is_valid().to_numpy(zero_copy_only=False) & bool(own.languages)
+            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+            data, offsets = column_bytes(texts)
+            at = 0
+            while at < len(texts) and own.languages:  # about a megabyte of text at a time
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
+                p = own.scores(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                best[at:to], score[at:to] = p.argmax(1), p.max(1)
+                at = to
+            best[~known], score[~known] = len(names) - 1, 0.0
+            return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(~known | (score < own.least_score))], ["lang_pred", "score", "rejected"])
+
+        # rows stay in the engine, which only sends the texts
+        predicted = F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(F.when(lettered, F.col(text).cast("string")))
+        return docs.select(packed(docs).alias("row"), predicted.alias("p")).select("row", "p.*")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -127,21 +128,22 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, longest: int = LONGEST, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, stretch: int = STRETCH, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> LanguageModel:
     """Trains on rows with a language, a text and a remainder of 0 or 1, and calibrates on those with 3.
 
-    The sample is bounded: about ``per_language`` rows of each language, chosen by a hash of the id, of at most
-    ``longest`` characters each; it alone goes to the driver.  Other rows only count.
+    The sample is bounded: about ``per_language`` rows of each language, chosen by a hash of the id; of a text of more than ``stretch``
+    characters, so many from a place that the hash chooses.  It alone goes to the driver; other rows only count.  Rows without a letter are no examples.
     """
     rows = docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).withColumn("r", remainder(F.col("d")))
-    rows = rows.where("l is not null and r is not null and r <> 2")
+    rows = rows.where("l is not null and r is not null and r <> 2").where(F.col("t").rlike(r"\p{L}"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0), 1.0, 1.0)
     share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / counts[l]))])
     unit = F.pmod(F.xxhash64("d", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(unit < F.element_at(share, F.col("l"))).where(F.col("t").isNotNull() & (F.length("t") <= longest) & F.col("t").rlike(r"\p{L}")).select("l", "t", "r", "d").collect()
+    begin = (F.pmod(F.xxhash64("d", F.lit("place")), F.greatest(F.length("t") - stretch + 1, F.lit(1))) + 1).cast("int")
+    sample = rows.where(unit < F.element_at(share, F.col("l"))).select("l", F.substring("t", begin, F.lit(stretch)).alias("t"), "r", "d").collect()
     sample = sorted((tuple(r) for r in sample), key=lambda r: (r[0], r[3], r[1]))
     encoded = [x.encode() for _, x, _, _ in sample]
     grams = []
@@ -185,7 +187,21 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
         loss = [-np.log(softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean() for t in heats]
         model.temperature = float(heats[int(np.argmin(loss))])
         p = softmax(z / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == own])
-        if len(right):
-            model.least_score = float(min(right[int(REJECTED * len(right))] * 0.999, MOST_REJECTED))
+        model.least_score = least_score(p.max(1), p.argmax(1) == own)
     return model
+
+
+def least_score(score: np.ndarray, right: np.ndarray) -> float:
+    """The score below which predictions are rejected.
+
+    It costs ``REJECTED`` of the right predictions; more only if otherwise over ``WRONG`` of those that stay were wrong, and never one of
+    ``MOST_REJECTED`` or above.
+    """
+    if not right.any():
+        return MOST_REJECTED
+    low = np.sort(score[right])[int(REJECTED * right.sum())] * 0.999
+    order = np.argsort(-score, kind="stable")
+    wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
+    fine = np.flatnonzero(wrong <= WRONG)
+    high = score[order[fine[-1]]] if len(fine) else MOST_REJECTED
+    return float(min(max(low, high if fine.size == 0 or fine[-1] + 1 < len(order) else 0.0), MOST_REJECTED))

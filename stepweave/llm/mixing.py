@@ -8,7 +8,7 @@ rest by the documents whose prefix sum of sizes, in that order, fits the budget.
 No source is sorted as a whole.  Its keys fall into ``CELLS`` ranges, whose sizes
 are added up before any shuffle; only the documents of the one range in which the
 budget ends are ordered row by row.  So a source with a third of all rows costs
-one row a range and task, not one task.
+one row a range and task, not one task.  Weights and targets are a matter of the list of sources, which one task sorts: a row a source.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NARROW, cut, n_words, unit_hash
+from .common import NARROW, cut, n_words, packed, unit_hash
 
 #: Ranges of keys for each source.
 CELLS = 2048
+#: So many sources are broadcast at most; parts of a source's rows where there are more.
+SOURCES, SALTS = 50_000, 64
 #: Weights that sources get in turn, by code point.
 WEIGHTS = (5, 2, 1)
 
@@ -51,6 +53,19 @@ def source_targets(sizes: DataFrame, *, budget: float = 1.5, most_epochs: float
     return s.withColumn("target", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("weight")), F.col("_cap"))).drop("_no", "_cap", "_level", "_at")
 
 
+def _with_targets(base: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows with their source's targets, without sending the rows of a source to one task.
+
+    One row a source is broadcast, if there are at most ``SOURCES`` of them; otherwise each is repeated for all ``SALTS`` salts, and so a source's rows
+    fall into as many parts.
+    """
+    targets = cut(targets, NARROW)
+    if targets.count() <= SOURCES:
+        return base.join(F.broadcast(targets), "_s")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return base.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).join(targets.withColumn("_salt", salts), ["_s", "_salt"]).drop("_salt")
+
+
 def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: DataFrame | None = None, budget: float = 1.5, most_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, epochs, sampled, taken (and the columns to carry).
 
@@ -85,7 +100,7 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     ends = ends.where("_rest > 0 and _upto >= _rest").groupBy("_s").agg(F.min(F.struct("_cell", (F.col("_upto") - F.col("_words")).alias("_before"))).alias("_end"))
     targets = targets.join(ends.select("_s", F.col("_end._cell").alias("_last"), F.col("_end._before").alias("_before")), "_s", "left")
 
-    rows = base.join(targets, "_s")
+    rows = _with_targets(base, targets)
     clear = rows.where("_last is null or _cell <> _last").withColumn("sampled", F.coalesce(F.col("_cell") < F.col("_last"), F.lit(False)))
     order = W.partitionBy("_s").orderBy("_key", F.asc_nulls_first("doc_id"), "size").rowsBetween(W.unboundedPreceding, 0)
     last = rows.where("_cell = _last").withColumn("_upto", F.col("_before") + F.sum("size").over(order))
@@ -101,16 +116,15 @@ def apply_mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> Da
     Rows are told apart by (doc_id, source, text); where several are equal in these, the sum of their
     passes is dealt out among them evenly.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    takes = mix_sources(keyed, quality=None if labels is None else quality_weights(labels), carry=("_sha", "source"), **options)
-    key = [F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("_sha")]
-    passes = takes.groupBy(*key).agg(F.sum(F.col("epochs") + F.col("sampled").cast("long")).alias("_passes"), F.count(F.lit(1)).alias("_rows"))
-    one = passes.where("_passes > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("_sha").alias("_h"), "_passes", "_rows")
-    on = keyed["doc_id"].eqNullSafe(one["_d"]) & keyed["source"].cast("string").eqNullSafe(one["_o"]) & (keyed["_sha"] == one["_h"])
-    mixed = keyed.join(one, on)
-    plain = mixed.where("_rows = 1")
-    again = mixed.where("_rows > 1").withColumn("_no", F.row_number().over(W.partitionBy("_d", "_o", "_h").orderBy(F.lit(0))))
-    again = again.withColumn("_passes", F.floor(F.col("_passes") / F.col("_rows")) + (F.col("_no") <= F.col("_passes") % F.col("_rows")).cast("long")).drop("_no")
-    out = plain.unionByName(again).where("_passes > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_passes").cast("int"))))
-    return out.select(*names)
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    rows = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    takes = mix_sources(rows, quality=None if labels is None else quality_weights(labels), carry=("sha", "source"), **options)
+    passes = takes.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("o"), F.col("sha").alias("h")).agg(F.sum(F.col("epochs") + F.col("sampled").cast("long")).alias("passes"), F.count(F.lit(1)).alias("n"))
+    one = passes.where("passes > 0")
+    rows = rows.drop("text")
+    mixed = rows.join(one, rows["doc_id"].eqNullSafe(one["d"]) & rows["source"].eqNullSafe(one["o"]) & (rows["sha"] == one["h"]))
+    plain = mixed.where("n = 1")
+    again = mixed.where("n > 1").withColumn("no", F.row_number().over(W.partitionBy("d", "o", "h").orderBy(F.lit(0))))
+    again = again.withColumn("passes", F.floor(F.col("passes") / F.col("n")) + (F.col("no") <= F.col("passes") % F.col("n")).cast("long")).drop("no")
+    out = plain.unionByName(again).where("passes > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("passes").cast("int"))))
+    return out.select("row.*")
