@@ -10,8 +10,8 @@ The plan takes the longest open length, looks up in an index of lengths what fil
 by one piece, by two, or by three, and uses each combination as often as its
 lengths are available; what is left goes, longest first, into the fullest
 sequence that still has room.  Pieces then find their place by their rank among
-the pieces of equal length; ranks are counted within salts, so that a length
-that a third of all pieces share is not one task.
+the pieces of equal length; ranks are counted within salts, as many as the number of pieces of a length
+asks for, so that a length that a third of all pieces share is not one task.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from .common import NARROW, cut
 from .textarrays import Words, portions
 
 CAPACITY = 4096
-SALTS = 64
+#: Pieces of one length and salt that a task ranks, about.
+RANKED = 1024
 #: Borders of words for the tokenizer: 0 white space, 1 ASCII letters, 2 ASCII marks but the apostrophe, 3 all else.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -50,7 +51,8 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its words, one after the other, and also splits between an ASCII letter and an
     ASCII mark (but for the apostrophe of contractions).  So each distinct word is encoded once
-    and later taken from an index by its 64-bit hash.  Texts with a special token's string are encoded whole.
+    and later taken from an index by its 64-bit hash; its bytes are compared each time, and a word that only shares another's hash is
+    encoded on its own.  Texts with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,8 +67,9 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.at, self.n, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.words: list[bytes] = []  # by number
 
     def _learn(self, words: Words, keys: np.ndarray, where: np.ndarray) -> None:
         if len(self.keys) > _MOST_CACHED:
@@ -90,24 +93,43 @@ class WordEncoder:
         new = keys[order][sort]
         place = np.searchsorted(self.keys, new)
         self.keys, self.at, self.n = np.insert(self.keys, place, new), np.insert(self.at, place, at[sort]), np.insert(self.n, place, n[sort])
+        self.number = np.insert(self.number, place, len(self.words) + order[sort])
+        self.words += self._bytes(words, where)
+
+    @staticmethod
+    def _bytes(words: Words, where: np.ndarray) -> list[bytes]:
+        data = words.data.tobytes()
+        return [data[s:e] for s, e in zip(words.start[where].tolist(), words.end[where].tolist(), strict=True)]
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, joined, and their offsets."""
         words = Words(col, lower=True, classes=_CLASS)
         rows = len(words.first) - 1
         uniq, where, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        other = ~words.same(np.arange(len(words)), where[inverse])  # words with another word's hash
         place = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), bool)
         inside = place < len(self.keys)
         known[inside] = self.keys[place[inside]] == uniq[inside]
+        if not known.all() and len(self.keys) > _MOST_CACHED:
+            known[:] = False
+        have = np.flatnonzero(known)
+        wrong = [i for i, x, k in zip(have.tolist(), self._bytes(words, where[have]), self.number[place[have]].tolist(), strict=True) if self.words[k] != x]
+        if wrong:
+            other |= np.isin(inverse, wrong)
         if not known.all():
-            if len(self.keys) > _MOST_CACHED:
-                known[:] = False
             self._learn(words, uniq[~known], where[~known])
             place = np.searchsorted(self.keys, uniq)
-        n = self.n[place][inverse].astype(np.int64)
+        n, at, flat = self.n[place][inverse].astype(np.int64), self.at[place][inverse], self.flat
+        if other.any():
+            apart = np.flatnonzero(other)
+            raw = words.raw.tobytes()
+            own = [self.tokenizer.encode(raw[words.start[i] : words.end[i]].decode("utf-8", "replace"), add_special_tokens=False).ids for i in apart.tolist()]
+            n[apart] = [len(x) for x in own]
+            at[apart] = len(flat) + np.cumsum(n[apart]) - n[apart]
+            flat = np.concatenate([flat, np.asarray([y for x in own for y in x], np.int32)])
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.at[place][inverse] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = flat[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])]
         offsets = ends[words.first]
         whole = words.raw.tobytes() if rows else b""
         if any(x in whole for x in _SPECIAL):
@@ -256,9 +278,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The pieces should be a cheap, stable table (a checkpoint): they are read twice.  Equal rows are interchangeable.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    groups = cut(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), NARROW)  # at most capacity times SALTS rows
-    histogram = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    salts = F.split(F.lit(",".join(str(-(-histogram.get(x, 0) // RANKED) or 1) for x in range(1, capacity + 1))), ",").cast("array<int>")
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int"))))
+    groups = cut(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), NARROW)  # at most capacity rows and one for each RANKED pieces
     keys, sequences, offsets = _places(packing_plan(histogram, capacity), capacity)
     before = groups.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     order = W.partitionBy("length", "_salt").orderBy(F.asc_nulls_first("doc_id"), "piece", "ids_crc32", "start")

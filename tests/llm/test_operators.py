@@ -1,8 +1,10 @@
 import collections
+import functools
 import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,8 +129,8 @@ def shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_components_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block", [1024, 3, 1])
+def test_near_components_equal_brute_force(spark, block, monkeypatch):
     texts, rng, vocabulary = made(40, 5)
     for base in list(texts[:12]):
         for _ in range(6):
@@ -155,14 +157,38 @@ def test_near_components_equal_brute_force(spark, block):
                 root[max(a, b)] = min(a, b)
     from stepweave.llm import nearcore
 
-    members, roots = nearcore.linked_classes(docs_of(spark, texts), shingle=4, block=block)
-    assert members.count() == len(texts)
+    want = {i: find(i) for i in range(len(texts))}
+    monkeypatch.setattr(near, "linked_classes", functools.partial(nearcore.linked_classes, block=block))
     got = {r.doc_id: r for r in near.near_duplicates(docs_of(spark, texts), shingle=4).collect()}
-    assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in range(len(texts))}
+    assert {i: r.component_id for i, r in got.items()} == want
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_pairs_are_not_left_to_representatives(spark, monkeypatch):
+    """A bucket whose representative is like none of its members: links between members of all blocks are found."""
+    from stepweave.llm import nearcore
+
+    rng = random.Random(12)
+    voc = [f"w{i}" for i in range(4000)]
+    families = [" ".join(rng.choice(voc) for _ in range(60)) for _ in range(12)]
+    texts = []
+    for base in families:
+        words = base.split()
+        for k in range(5):  # a chain: each is like the one before it
+            words[12 * k % 60] = rng.choice(voc)
+            texts.append(" ".join(words))
+    docs = docs_of(spark, texts)
+    whole = {r.doc_id: r.component_id for r in near.near_duplicates(docs, shingle=4).collect()}
+    # one band for all: every class meets every other one, and all links come from blocks
+    keys = lambda classes, *, bands, rows: classes.select("digest", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"))
+    monkeypatch.setattr(nearcore, "band_keys", keys)
+    for block, bands in ((2, 64), (2, 16), (1024, 32)):  # guests, second bands, one block
+        monkeypatch.setattr(near, "linked_classes", functools.partial(nearcore.linked_classes, block=block))
+        assert {r.doc_id: r.component_id for r in near.near_duplicates(docs, shingle=4, bands=bands, rows=128 // bands).collect()} == whole
+    assert len(set(whole.values())) < len(texts)
+
+
 def test_near_odd_rows(odd, none):
     got = near.near_duplicates(odd).collect()
     assert len(got) == len(TEXTS)
@@ -188,10 +214,14 @@ def without_repeats(texts, length):
     return words, out
 
 
-@pytest.mark.parametrize(("sample", "hot"), [(64, 40), (1, 2)])
-def test_substrings_equal_brute_force(spark, odd, none, monkeypatch, sample, hot):
+@pytest.mark.parametrize(("sample", "hot", "held"), [(64, 40, 1 << 21), (1, 2, 20), (64, 40, 0)])
+def test_substrings_equal_brute_force(spark, odd, none, monkeypatch, sample, hot, held):
     monkeypatch.setattr(substrings, "SAMPLE", sample)
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "HELD", held)
+    if not held:  # edges that meet by four bits, so that only verification tells them apart
+        low = substrings._low
+        monkeypatch.setattr(substrings, "_low", lambda edge: low(edge & np.uint64(15)))
     texts, rng, vocabulary = made(60, 9, words=40, size=(5, 120))
     passages = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (12, 13, 30, 60)]
     texts += [f"{rng.choice(texts)[:40]} {p} {rng.choice(vocabulary)}" for p in passages for _ in range(6)]
@@ -202,7 +232,7 @@ def test_substrings_equal_brute_force(spark, odd, none, monkeypatch, sample, hot
         assert got[i].kept_text == " ".join(kept[i])
         assert (got[i].n_words, got[i].n_removed) == (len(words[i]), len(words[i]) - len(kept[i]))
         assert got[i].kept_sha256 == hashlib.sha256(" ".join(kept[i]).encode()).hexdigest()
-    if sample == 64:
+    if held > 20:
         assert substrings.remove_repeats(odd).count() == len(TEXTS) and substrings.remove_repeats(none).count() == 0
 
 
