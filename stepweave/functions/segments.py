@@ -7,29 +7,26 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+BOX = re.compile(r"\\boxed\s*\{")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def boxed_regions(text: str | None) -> list[dict]:
-    """Every closed ``\\boxed{...}`` with balanced braces, escapes minded: start, end, content."""
-    out, mark = [], "\\boxed{"
-    at = (text or "").find(mark)
-    while at >= 0:
-        depth, i, escaped = 1, at + len(mark), False
-        while i < len(text) and depth:
+    """Every closed ``\\boxed{...}`` with balanced braces, escapes minded (white space before the brace is allowed): start, end, content."""
+    out = []
+    for opened in BOX.finditer(text or ""):
+        depth, end, escaped = 1, len(text), False
+        for i in range(opened.end(), len(text)):
             c = text[i]
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-            i += 1
+            if escaped or c == "\\":
+                escaped = not escaped
+                continue
+            depth += (c == "{") - (c == "}")
+            if not depth:
+                end = i + 1
+                break
         if not depth:
-            out.append({"start": at, "end": i, "content": text[at + len(mark) : i - 1]})
-        at = text.find(mark, at + 1)
+            out.append({"start": opened.start(), "end": end, "content": text[opened.end() : end - 1]})
     return out
 
 

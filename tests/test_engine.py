@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.functions import hashing, segments, text
+from stepweave.functions import answers, hashing, segments, text
 from stepweave.operators import dedup, fitting, greedy, joins, metrics, ordered, policy, resampling, selection, vectors
 from stepweave.sources import config, sinks, tables
 from stepweave.streaming import events
@@ -42,11 +42,37 @@ def test_formatting_variants_share_a_key(spark):
     assert col(spark, text.normalize_problem_text(b)) == "same problem (x)"
 
 
-@pytest.mark.parametrize(("answer", "method", "value"), [("so \\boxed{12} and \\boxed{7}", "boxed", "7"), ("x\n## Final answer: 42 \ny", "marker", "42"), ("a\n  1,234\nz z", "isolated", "1,234"), ("first\nTherefore it is 3/4 now", "assertion", "3/4"), ("nothing here", "failure", None)])
-def test_answer_rules_in_order(spark, answer, method, value):
-    r = col(spark, text.answer_region(F.lit(answer)))
-    assert (r["method"], r["value"]) == (method, value)
-    assert col(spark, text.acceptable(F.lit(method), F.lit("length"))) == (method in ("boxed", "marker"))
+ANSWERS = [
+    (r"so \boxed{12} and \boxed {7}", "last_boxed", "7"), (r"x \boxed{\frac{1}{2}} y", "last_boxed", r"\frac{1}{2}"), (r"a \boxed{2}. b \boxed{3}. c \boxed{x", "last_boxed", "3"), ("Work.\n\\boxed{\\frac{1}{2} +\n\\sqrt{3}}", "last_boxed", "\\frac{1}{2} +\n\\sqrt{3}"),
+    ("x\n## Final answer: 42 \ny", "final_answer_marker", "42"), ("Work.\nFinal answer:\n$ a = -\\frac{3}{2} $", "final_answer_marker", "-\\frac{3}{2}"), ("Work. \\boxed{open\nanswer: 12", "final_answer_marker", "12"), ("Answer: the sum is yes.", "final_answer_marker", "yes"),
+    ("a\n  1,234\nz z", "isolated_answer_line", "1,234"), ("$42$", "isolated_answer_line", "42"), ("so\n$x = 4$", "isolated_answer_line", "x = 4"), ("it is\n(1, 2)", "isolated_answer_line", "(1, 2)"), (r"then" "\n" r"$\frac{1}{2}$.", "isolated_answer_line", r"\frac{1}{2}"),
+    ("first\nTherefore it is 3/4 now", "final_assertion", "3/4"), (r"Therefore $x = \sqrt{2}$", "final_assertion", r"\sqrt{2}"), ("Work.\nTherefore, the combined amount is $50,000 per month.", "final_assertion", "$50,000"), ("nothing here", "none", None), ("", "none", None), (None, "none", None),
+]
+
+
+def test_answer_rules_in_order(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(ANSWERS)], "i int, t string")
+    got = {r.i: r for r in df.select("i", "t", answers.answer_region(F.col("t")).alias("r")).withColumn("cut_off", answers.acceptable(F.col("r"), F.lit("length"))).collect()}
+    for i, (t, method, value) in enumerate(ANSWERS):
+        r = got[i].r
+        assert (r.method, r.parsed_answer) == (method, value), t
+        assert r.success == (value is not None) and len(r) == 13
+        assert got[i].cut_off == (method in ("last_boxed", "final_answer_marker"))
+        if value is not None:
+            assert t[r.content_char_start : r.content_char_end] == value and r.char_start <= r.content_char_start < r.content_char_end <= r.char_end
+    own = answers.parse("so it is 7", lambda t: ("seven", (9, 10)))
+    assert (own["method"], own["parsed_answer"], own["text"]) == ("dataset_specific", "seven", "7")
+    assert answers.parse("Answer: 7", lambda t: ("9", (0, 1)))["parsed_answer"] == "7"
+
+
+def test_answer_steps_and_borders(spark):
+    row = lambda **c: spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
+    r = row(a=answers.answer_only(F.lit("The final answer is: 7 ."), F.lit("7")), b=answers.answer_only(F.lit("\\boxed{7}"), F.lit("7")), c=answers.answer_only(F.lit("so 7"), F.lit("7")), d=answers.answer_only(F.lit("7"), F.lit(None).cast("string")))
+    assert tuple(r) == (True, True, False, False)
+    audit = col(spark, answers.step_audit(F.array(F.lit("one two"), F.lit("three "), F.lit("four"))))
+    assert [(x.requested, x.token_offset, x.resolved, x.exact, x.sound) for x in audit] == [(8, 2, 8, True, True), (16, 3, 15, False, False), (22, 4, 22, True, True)]
+    assert tuple(col(spark, answers.reasoning_split(F.lit("we add them\nFinal answer: 3")))) == (11, 3)
+    assert col(spark, answers.prompt(F.lit(" x "), F.lit("P2"))) == answers.PROMPTS["P2"] + "\n\nx"
 
 
 def test_answers_agree_by_number_or_text(spark):
