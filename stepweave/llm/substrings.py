@@ -278,7 +278,7 @@ class _Texts:
     def paths(self) -> list[list[dict]]:
         """Of each row: its paths with their digests."""
         out: list[list[dict]] = [[] for _ in range(len(self.first) - 1)]
-        last = np.append(self.path[1:], len(self.row)) - 1
+        last = np.append(self.path[1:], len(self.row))[: len(self.path)] - 1
         for i, j in zip(self.path.tolist(), last.tolist(), strict=True):
             d1, d2 = _digest(self.words_of(self.low[i], self.high[j]))
             out[self.row[i]].append({"path": int(self.piece[i]), "pos": int(self.pos[i]), "n": int(self.pos[j] + self.n[j] - self.pos[i]), "d1": d1, "d2": d2})
