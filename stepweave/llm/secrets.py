@@ -95,13 +95,18 @@ def parts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Dat
 def linked(found: DataFrame, *, scope: int = SCOPE) -> DataFrame:
     """(uid, spans): the weak spans of each row of (uid, base, weak) with a complementary part within ``scope`` characters.
 
-    Access identifiers complement secrets, endpoints complement secrets, and secrets both.  The join is on
+    Access identifiers complement secrets, endpoints complement secrets, and secrets both.  A weak span inside a base span is left out.  The join is on
     the stretch of ``scope`` characters in which a part begins and its two neighbours; spans
     within a stretch are bounded by its length, so pairs grow with the text and not with its square.
     """
     role = F.when(F.col("k").isin(1, 4), 1).when(F.col("k") == 6, 2).otherwise(0)  # 0 secrets, 1 access identifiers, 2 endpoints
     some = found.where(F.size("weak") > 0).where(F.size("weak") + F.size("base") > 1)
-    every = some.select("uid", F.explode(F.concat("base", "weak")).alias("p")).select("uid", "p.s", "p.k", "p.e").withColumn("r", role)
+    stretch = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    known = some.select("uid", F.explode("base").alias("p")).select("uid", "p.s", "p.k", "p.e")
+    cover = known.select(F.col("uid").alias("u"), F.col("s").alias("os"), F.col("e").alias("oe"), stretch(F.col("s"), F.col("e")).alias("ob"))
+    open_ = some.select("uid", F.explode("weak").alias("p")).select("uid", "p.s", "p.k", "p.e").withColumn("b", F.floor(F.col("s") / scope))
+    inside = (F.col("uid") == F.col("u")) & (F.col("b") == F.col("ob")) & (F.col("os") <= F.col("s")) & (F.col("e") <= F.col("oe"))
+    every = cut(known.unionByName(open_.join(cover, inside, "left_anti").drop("b")).withColumn("r", role), NARROW)
     ends = every.select("uid", "s", "e", "r", F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor(F.col("e") / scope))).alias("b"))
     weak = every.where("k >= 3").select("uid", "s", "k", "e", "r", F.explode(F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope))).alias("b"))
     other = ends.select(F.col("uid").alias("u"), F.col("b").alias("ob"), F.col("s").alias("os"), F.col("e").alias("oe"), F.col("r").alias("orole"))
@@ -118,8 +123,7 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scope:
     A weak span that lies inside a base span is left out.  A null text counts as empty.  Rows with
     the same doc_id are separate texts.  Other columns are ignored, and an empty table gives an empty result.
     """
-    inside = lambda w: F.exists("base", lambda x: (x["s"] <= w["s"]) & (w["e"] <= x["e"]))
-    found = parts(docs, text=text, doc_id=doc_id).withColumn("weak", F.array_distinct(F.filter("weak", lambda w: ~inside(w))))
+    found = parts(docs, text=text, doc_id=doc_id)
     found = cut(found.withColumn("uid", F.monotonically_increasing_id()), NARROW)
     out = found.join(linked(found, scope=scope), "uid", "left")
     return out.select("doc_id", "base", F.coalesce("spans", F.expr(f"cast(array() as {_NONE})")).alias("linked"))
