@@ -57,7 +57,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data = [packer.compress(x.encode()) for x in batch.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("txt"), pa.array(data, pa.binary())], ["doc_id", "txt", "z"])
 
 
 _OUT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.binary()), ("own", pa.binary()), ("edited", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
@@ -94,7 +94,7 @@ def edited_fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many of the next
-    document; next is by ascending doc_id (null first), then text, and after the last comes the first.  near_edited and near_next are
+    document; next is by ascending doc_id (null first), of equal ids by the text's xxhash64 and compressed bytes, and after the last comes the first.  near_edited and near_next are
     the likeness of the fingerprint to that of the edited text and of the next document.
 
     Texts travel once, compressed, to ranges of the id; there each meets the next one.  Of each range the first and the
@@ -104,8 +104,9 @@ def edited_fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    dealt = rows.mapInArrow(_zipped, "doc_id long, z binary").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "z")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("txt", F.xxhash64("t"))
+    order = (F.asc_nulls_first("doc_id"), F.asc("txt"))  # rows of one id (null) fall into several ranges
+    dealt = rows.mapInArrow(_zipped, "doc_id long, txt long, z binary").repartitionByRange(parts, *order).sortWithinPartitions(*order, "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -128,8 +129,8 @@ def edited_fingerprints(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame
 
     kinds = "part int, kind tinyint, doc_id long, n_chars long, sha binary, own binary, edited binary, near_edited double, near_next double, text string"
     found = cut(dealt.mapInArrow(run, kinds))
-    order = sorted(r[0] for r in found.where(F.col("kind") == _FIRST).select("part").collect())  # a number for each range
-    follow = spark.createDataFrame([(p, order[(i + 1) % len(order)]) for i, p in enumerate(order)], "part int, after int")
+    follows = sorted(r[0] for r in found.where(F.col("kind") == _FIRST).select("part").collect())  # a number for each range
+    follow = spark.createDataFrame([(p, follows[(i + 1) % len(follows)]) for i, p in enumerate(follows)], "part int, after int")
     last = found.where(F.col("kind") == _LAST).select("part", "doc_id", "text").join(follow, "part")
     ends = last.join(found.where(F.col("kind") == _FIRST).select(F.col("part").alias("after"), F.col("text").alias("next")), "after").select("part", "doc_id", "text", "next")
 

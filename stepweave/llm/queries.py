@@ -137,6 +137,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near documents by the bands of their fingerprints, verified on full sets (5-word shingles, 80 per cent)."""
+    found = fingerprint.near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("group", F.concat(F.lit("none "), F.col("doc_id").cast("string"))).alias("group"))
+    first = found.groupBy("group").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    return found.join(first, "group").select("doc_id", "first_id", "size")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines of templates that recur across documents."""
     return lines.drop_template_lines(table(spark, sf_dir, "documents"))
@@ -169,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
+        "fingerprint_groups": fingerprint_groups,
         "op8_line_dedup": op8_line_dedup,
         "op9_pack_documents": op9_pack_documents,
         "op10_token_counts": op10_token_counts,
