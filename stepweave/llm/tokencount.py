@@ -66,22 +66,32 @@ class CountTree:
         self.encoded += len(text)
         return len(text), len(self.enc.encode_ordinary(text))
 
-    def _raise(self, low: int) -> None:
-        """Sums above the leaves from ``low`` on; those left of it stay."""
+    def _raise(self, low: int, high: int | None = None) -> None:
+        """Sums above the leaves from ``low`` on; with ``high``, the number of leaves is as before, and only the paths of low to high change."""
         level = 0
         while len(self.levels[level]) > 1:
             below = self.levels[level]
             low //= 2
-            kept = self.levels[level + 1][:low] if level + 1 < len(self.levels) else []
-            low = len(kept)
-            sums = kept + [(below[i][0] + below[i + 1][0], below[i][1] + below[i + 1][1]) if i + 1 < len(below) else below[i] for i in range(2 * low, len(below), 2)]
-            if level + 1 < len(self.levels):
-                self.levels[level + 1] = sums
+            known = level + 1 < len(self.levels)
+            if high is not None and known:
+                high //= 2
+                self.levels[level + 1][low : high + 1] = [self._sum(below, i) for i in range(low, high + 1)]
             else:
-                self.levels.append(sums)
+                kept = self.levels[level + 1][:low] if known else []
+                low = len(kept)
+                self.levels[level + 1 : level + 2] = [kept + [self._sum(below, i) for i in range(low, (len(below) + 1) // 2)]]
             level += 1
         del self.levels[level + 1 :]
 
+    @staticmethod
+    def _sum(below: list[tuple[int, int]], i: int) -> tuple[int, int]:
+        """Node ``i`` above a level: the sum of two neighbours, or the last one alone."""
+        a = below[2 * i]
+        if 2 * i + 1 == len(below):
+            return a
+        b = below[2 * i + 1]
+        return a[0] + b[0], a[1] + b[1]
+
     @property
     def tokens(self) -> int:
         return self.levels[-1][0][1] if self.leaves else 0
@@ -124,9 +134,10 @@ class CountTree:
             high += 1
             body += self.leaves[high]
         fresh = leaves_of(body, self.leaf)
+        as_many = len(fresh) == high + 1 - low
         self.leaves[low : high + 1] = fresh
         self.levels[0][low : high + 1] = [self._pair(x) for x in fresh]
-        self._raise(low)
+        self._raise(low, high if as_many else None)
 
 
 def count_edits(docs: DataFrame, edits: Column, *, path: str | None = None, leaf: int = LEAF, keep_text: bool = False) -> DataFrame:
