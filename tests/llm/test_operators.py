@@ -350,10 +350,15 @@ def test_packing_places_every_piece(spark, odd, none):
     assert all(list(r.ids)[-1] == 1 for r in ids)
 
 
-def test_word_encoder_equals_the_tokenizer():
+@pytest.mark.parametrize("bits", [64, 3])
+def test_word_encoder_equals_the_tokenizer(monkeypatch, bits):
     import pyarrow as pa
 
-    enc = packing.encoder(packing.default_tokenizer())
+    from stepweave.llm import textarrays
+
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    whole = textarrays.Words._hash
+    monkeypatch.setattr(textarrays.Words, "_hash", lambda self: whole(self) >> np.uint64(64 - bits))  # with 3 bits, most words collide
     texts = ["", None, "it's a 'stest' ,'s x''s b á e≠f ΑΣ ΑΣ.b <|endoftext|> ok", "A.B.C 12a3 $%^ don't!'s \x1c x\x85y z", "<|startoftext|>", "İstanbul ſ K ǅ", "naïve… “q” —x—", "a​b ̀x", "x" * 3000, "It!!IS,,so''"]
     rng = random.Random(1)
     texts += ["".join(rng.choice("ab'., \té́≠1 S") for _ in range(40)) for _ in range(500)]
@@ -407,3 +412,117 @@ def test_count_edits_touch_few_leaves(spark, odd, none):
     assert row.n_reencoded < 2000 < row.n_chars
     assert tokencount.count_edits(odd, edits).count() == len(TEXTS) and tokencount.count_edits(none, edits).count() == 0
     assert tokencount.count_edits(odd, F.lit(None)).where("n_tokens <> n_tokens_edited").count() == 0
+
+
+def thue_morse(n):
+    """Two words that differ in every place and collide under polynomial hashes modulo a power of two."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_are_alike_by_structure_stay_apart(spark):
+    import pyarrow as pa
+
+    from stepweave.llm.textarrays import Words
+
+    a, b = thue_morse(2048)
+    assert len(set(Words(pa.array([a, b, a[:128], b[:128]])).hash.tolist())) == 4
+    assert {r.component_id for r in near.near_duplicates(docs_of(spark, [a, b]), shingle=4).collect()} == {0, 1}
+    frame = " ".join(f"w{i}" for i in range(17))
+    assert {r.n_removed for r in substrings.remove_repeats(docs_of(spark, [f"{frame} {x} {frame}x" for x in (a, b)])).collect()} == {0}
+    enc = packing.WordEncoder(packing.default_tokenizer())
+    for x in (a, b):
+        assert list(enc.encode(pa.array([x]))[0]) == enc.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.fit(docs).predict(docs).select("row.lang", "row.text", "lang_pred", "rejected", (language.remainder(F.col("row.doc_id")) == 2).alias("held")).collect()
+    held = [r for r in out if r.held and r.lang is not None]
+    assert len(held) > 200 and sum(r.lang == r.lang_pred for r in held) >= 0.99 * len(held)
+    assert sum(r.rejected for r in out if re.search(r"[^\W\d_]", r.text or "")) <= 0.005 * len(out)
+
+
+def test_long_texts_of_a_language_are_examples(spark):
+    rows = [(i, ("der schöne Baum und die Ungewißheit " if i % 2 else "the quick thing which was there and then ") * (2000 if i % 2 else 3), "de" if i % 2 else "en") for i in range(80)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = model.predict(spark.createDataFrame([(1, "die schöne Ungewißheit"), (2, "the thing was there")], "doc_id long, text string")).select("row.doc_id", "lang_pred").collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "de", 2: "en"}
+
+
+def test_pieces_equal_the_tokenizer(spark):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = packing.pack_documents(docs).collect()
+    tokenizer = packing.encoder(packing.default_tokenizer()).tokenizer
+    want = []
+    for r in docs.collect():
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r.doc_id, i, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for i, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    own = collections.defaultdict(list)
+    for r in got:
+        own[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(x)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(x)[:-1], sorted(x)[1:], strict=True)) and sum(n for _, n in x) <= 4096 for x in own.values())
+
+
+def test_many_spans_of_one_text(spark):
+    text = "".join(f"key AKIA0123456{i:03d} token=abc{i:04d} x\n" for i in range(3000))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.base == [] and len(row.linked) == 6000
+
+
+def test_long_lines_and_words(spark):
+    long = "x" * 300_000
+    texts = [f"{long} {i}\nsame start of {' '.join(f'w{k}' for k in 'abcdefghij' * 5000)}" for i in range(8)]
+    got = lines.drop_template_lines(docs_of(spark, texts)).collect()
+    assert {r.n_dropped for r in got} == {1}
+    assert {r.n_words for r in substrings.remove_repeats(docs_of(spark, texts)).collect()} == {50_005}
+    uncut = tokencount.CountTree("ab" * 100_000, tokencount.encoding(), 400)
+    uncut.edit(5, 6, "zz")
+    assert len(uncut.leaves) == 1 and uncut.tokens == len(tokencount.encoding().encode_ordinary(uncut.text))
+
+
+def test_large_leaves_are_spooled(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [f"Posted by {word()} in {word()} today at noon\nPosted by the man whose {word()} {word()} {word()} {word()} {word()}" for _ in range(40)]
+    whole = sorted(map(str, lines.drop_template_lines(docs_of(spark, texts)).collect()))
+    monkeypatch.setattr(lines, "HELD", 40)
+    assert sorted(map(str, lines.drop_template_lines(docs_of(spark, texts)).collect())) == whole
+    assert "n_dropped=1" in whole[0]
+
+
+def test_groups_of_near_fingerprints(spark):
+    from stepweave.llm.queries import fingerprint_groups
+
+    got = {r.doc_id: r for r in fingerprint_groups(spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j]) if j < i else 0
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert {i: r.first_id for i, r in got.items()} == {i: find(i) for i in sets}
+
+
+def test_columns_of_operators_may_clash(spark):
+    from stepweave.llm import exact
+
+    names = ["doc_id", "text", "lang", "source", "_sha", "_rows", "_txt", "row", "sha", "d", "h", "n", "stay", "no", "passes", "txt", "kept"]
+    docs = spark.createDataFrame([(i, f"text {i % 3} of some words", "en", "s", *[f"{c}{i}" for c in names[4:]]) for i in range(6)], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for out in (exact.drop_exact_duplicates(docs), near.drop_near_duplicates(docs), mixing.apply_mix(docs), language.fit(docs).predict(docs).select("row.*")):
+        assert out.columns == names
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names[4:])
