@@ -117,12 +117,18 @@ def pca_whiten(df: DataFrame, *, by: str, column: str, share: float = 0.95, most
     return df.select(by, column).groupBy(by).applyInPandas(fit, f"{by} int, dimensions int, explained double")
 
 
+#: Most domains of a probe matrix, which has two fits for each; more are an error.
+DOMAINS = 1000
+
+
 def train_matrix(df: DataFrame, *, domain: str, x: list[str], target: str, ridge: float = 1.0) -> DataFrame:
     """(train, weights): a linear probe for each domain and for all but each domain.
 
     A row goes to its own domain's fit and to the other domains' leave-one-out fits; each fit is one group of (features, target).
     """
-    names = sorted(r[0] for r in df.select(domain).distinct().limit(1000).collect())  # domains are a handful of names
+    names = sorted(r[0] for r in df.select(domain).distinct().limit(DOMAINS + 1).collect())
+    if len(names) > DOMAINS:
+        raise ValueError(f"a matrix of more than {DOMAINS} domains")
     specs = F.array(F.col(domain), *[F.when(F.col(domain) != n, F.lit(f"without {n}")) for n in names])
     rows = df.select(F.explode(F.array_compact(specs)).alias("train"), *x, F.col(target).alias("y"))
 

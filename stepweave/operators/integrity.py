@@ -42,5 +42,19 @@ def expire_leases(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.withColumns({"status": F.when(gone, "pending").otherwise(F.col("status")), "worker": F.when(~gone, F.col("worker")), "lease_until": F.when(~gone, F.col("lease_until"))})
 
 
+def finish_jobs(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """The snapshot after reports (job_id, worker, outcome: complete or failed) of the workers that hold the jobs; ``accepted`` is null without a report.
+
+    A report only counts if its worker holds the job and the job is running; others leave the job as it is and are marked.
+    """
+    first = reports.groupBy("job_id").agg(F.min(F.struct("worker", "outcome")).alias("_r"))
+    j = jobs.join(first, "job_id", "left")
+    held = (F.col("status") == "running") & (F.col("worker") == F.col("_r.worker"))
+    accepted = F.when(F.col("_r").isNotNull(), F.coalesce(held, F.lit(False)))
+    j = j.withColumn("accepted", accepted)
+    done = F.coalesce("accepted", F.lit(False))
+    return j.withColumns({"status": F.when(done, F.col("_r.outcome")).otherwise(F.col("status")), "worker": F.when(~done, F.col("worker")), "lease_until": F.when(~done, F.col("lease_until"))}).drop("_r")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -6,6 +6,8 @@ cluster with its sufficient statistics, never on the rows below.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,19 +19,21 @@ def draw(n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % n
 
 
+#: Chances that a unit is drawn 0, 0 to 1, 0 to 2, ... times: the Poisson law of mean 1.
+DRAWN = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12))
+
+
 def cluster_bootstrap(units: DataFrame, stratum: str, unit: str, columns: list[str], replicates: int, seed: str) -> DataFrame:
-    """(stratum, rep, *columns): means of resampled units, as many as the stratum has.
+    """(stratum, rep, *columns): means of resampled units, by stratum.
 
-    A unit's slot is its rank in its stratum; each replicate draws slots, counts how often each was drawn, and
-    weights the unit rows.  Multiplicities are aggregated before they meet the units, and the replicates are rows of
-    a generator, so nothing is collected.
+    How often a replicate draws a unit follows the Poisson law of mean 1, from a hash of (seed, stratum, replicate, unit).  So no
+    unit has to know of any other: units are read once, and each task only passes on its sums for every stratum and replicate.
     """
-    slots = units.withColumn("_slot", F.row_number().over(W.partitionBy(stratum).orderBy(unit)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(stratum)))
-    reps = slots.select(stratum, "_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = reps.select(stratum, "rep", draw(F.col("_n"), F.lit(seed), F.col(stratum), F.col("rep"), F.col("_slot")).cast("int").alias("_slot"))
-    times = drawn.groupBy(stratum, "rep", "_slot").agg(F.count(F.lit(1)).alias("_k"))
-    j = times.join(slots.select(stratum, "_slot", *columns), [stratum, "_slot"])
-    return j.groupBy(stratum, "rep").agg(*[(F.sum(F.col("_k") * F.col(c)) / F.sum("_k")).alias(c) for c in columns])
+    reps = units.select(stratum, unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    u = draw(F.lit(1 << 52), F.lit(seed), F.col(stratum), F.col("rep"), F.col(unit)) / F.lit(float(1 << 52))
+    times = sum((F.when(F.col("_u") >= p, 1).otherwise(0) for p in DRAWN), F.lit(0))
+    drawn = reps.withColumn("_u", u).withColumn("_k", times)
+    return drawn.groupBy(stratum, "rep").agg(*[(F.sum(F.col("_k") * F.col(c)) / F.sum("_k")).alias(c) for c in columns])
 
 
 def interval(reps: DataFrame, by: list[str], column: str, level: float = 0.95) -> DataFrame:

@@ -56,11 +56,11 @@ def lpt_packs(df: DataFrame, by: str, id_: str, work: str, capacity: int) -> Dat
         rows = frame.sort_values([work, id_], ascending=[False, True], kind="stable")
         n = -(-len(rows) // capacity)
         heap, count, out = [(0.0, i) for i in range(n)], [0] * n, []
-        for _, r in rows.iterrows():
+        for group, one, size in zip(rows[by].tolist(), rows[id_].tolist(), rows[work].tolist(), strict=True):
             load, i = heapq.heappop(heap)
             count[i] += 1
-            load += float(r[work])
-            out.append((r[by], r[id_], i, load))
+            load += float(size)
+            out.append((group, one, i, load))
             if count[i] < capacity:
                 heapq.heappush(heap, (load, i))
         import pandas as pd
@@ -90,3 +90,25 @@ def balanced_folds(df: DataFrame, group: str, domain: str, folds: int, order: Co
         return pd.DataFrame(out, columns=["grp", "fold"])
 
     return g.groupBy("_one").applyInPandas(place, "grp long, fold int")
+
+
+def lpt_workers(packs: DataFrame, by: str, pack: str, work: str, workers: int) -> DataFrame:
+    """(by, pack, worker, load, load_ratio): longest pack first to the least loaded worker, ties to the smallest one.
+
+    ``load`` is the worker's whole load, ``load_ratio`` the greatest load over the smallest (null if that is 0).  Packs of a group of ``by`` are few.
+    """
+
+    def deal(frame):
+        import pandas as pd
+
+        rows = frame.assign(_p=frame[pack].astype(str)).sort_values([work, "_p"], ascending=[False, True], kind="stable")
+        heap, place = [(0.0, i) for i in range(workers)], []
+        for size in rows[work].tolist():
+            load, i = heapq.heappop(heap)
+            place.append(i)
+            heapq.heappush(heap, (load + float(size), i))
+        loads = {i: load for load, i in heap}
+        low, high = min(loads.values()), max(loads.values())
+        return pd.DataFrame({by: rows[by].to_numpy(), pack: rows[pack].to_numpy(), "worker": place, "load": [loads[i] for i in place], "load_ratio": high / low if low else None})
+
+    return packs.select(by, pack, work).groupBy(by).applyInPandas(deal, f"{by} string, {pack} long, worker int, load double, load_ratio double")

@@ -148,9 +148,12 @@ def _draw(n, *parts):
     return f"('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 13))::bigint % {n}"
 
 
-@query("bootstrap_cluster_ci", "RES01 RES02 RES04 RES05 RES11", f"""with {_UNITS}, s as (select *, row_number() over (partition by domain order by trace_id) - 1 as slot, count(*) over (partition by domain) as n from u),
-r as (select domain, slot, n, unnest(range(40)) as rep from s), dr as (select domain, rep, {_draw('n', "'boot'", 'domain', 'rep', 'slot')} as slot from r),
-m as (select domain, rep, avg(a - b) as diff from dr join s using (domain, slot) group by all)
+_TIMES = " + ".join(f"(u >= {p!r})::int" for p in resampling.DRAWN)
+
+
+@query("bootstrap_cluster_ci", "RES01 RES02 RES04 RES05 RES11", f"""with {_UNITS}, r as (select domain, trace_id, a - b as d, unnest(range(40)) as rep from u),
+dr as (select domain, rep, d, {_draw('4503599627370496', "'boot'", 'domain', 'rep', 'trace_id')} / 4503599627370496e0 as u from r), k as (select domain, rep, d, {_TIMES} as k from dr),
+m as (select domain, rep, sum(k * d) / sum(k) as diff from k group by all)
 select domain, round(quantile_cont(diff, 0.025e0), 6) as lo, round(quantile_cont(diff, 0.975e0), 6) as hi, abs(quantile_cont(diff, 0.025e0)) <= 0.1e0 and abs(quantile_cont(diff, 0.975e0)) <= 0.1e0 as equivalent from m group by domain""")
 def bootstrap_cluster_ci(spark, d):
     reps = resampling.cluster_bootstrap(_units(spark, d).withColumn("diff", F.col("a") - F.col("b")), "domain", "trace_id", ["diff"], 40, "boot")

@@ -5,12 +5,23 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; local sessions without one get their own."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="stepweave-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def strict_json(df: DataFrame, name: str = "json") -> DataFrame:
     """Each row as JSON in which NaN and infinities are null."""
     cols = []

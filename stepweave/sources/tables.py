@@ -48,6 +48,13 @@ def read_container(spark: SparkSession, path: str, row: T.StructType) -> DataFra
     return df.select(F.explode(F.coalesce("data", "examples", "rows")).alias("_r")).select("_r.*")
 
 
+def read_globbed(spark: SparkSession, root: str, schema: T.StructType | str, pattern: str = "*.annotated.json", folders: tuple[str, ...] = ()) -> DataFrame:
+    """JSON rows of all files below ``root`` whose names match, in the named folders or in any, with the ``file`` and its ``folder``."""
+    df = spark.read.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("mode", "FAILFAST").json(guard(root))
+    df = df.withColumn("file", F.col("_metadata.file_path")).withColumn("folder", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    return df.where(F.col("folder").isin(*folders)) if folders else df
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet, JSON lines or CSV with a header, by suffix; only the named columns."""
     guard(path)

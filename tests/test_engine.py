@@ -405,3 +405,47 @@ def test_queries_equal_their_sql(spark):
         elif name not in sql and not len(got):
             bad.append(name)
     assert not bad
+
+
+def test_workers_are_loaded_longest_first(spark):
+    from stepweave import catalog
+
+    got = catalog.queries()["worker_loads"](spark, SF).toPandas()
+    from stepweave.plans.views import checkpoints
+
+    packs = checkpoints(spark, SF).groupBy("base_model", (F.col("trace_id") % 40).alias("pack")).agg(F.sum("prefix_tokens").alias("work")).toPandas()
+    for model, own in packs.groupby("base_model"):
+        loads, place = [0.0] * 8, {}
+        for _, r in own.assign(p=own["pack"].astype(str)).sort_values(["work", "p"], ascending=[False, True]).iterrows():
+            i = min(range(8), key=lambda k: (loads[k], k))
+            place[r["pack"]] = i
+            loads[i] += float(r["work"])
+        rows = got[got["base_model"] == model]
+        assert dict(zip(rows["pack"], rows["worker"], strict=True)) == place
+        assert np.allclose(rows["load_ratio"], max(loads) / min(loads)) and np.allclose(rows["load"], [loads[i] for i in rows["worker"]])
+
+
+def test_answer_places_are_slices_of_the_texts(spark):
+    from stepweave import catalog
+    from stepweave.plans import answers as plans
+
+    texts = {(r.conv_id, r.turn): r.t for r in plans.completions(spark, SF).collect()}
+    rows = catalog.queries()["answer_places"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if r.success:
+            t = texts[r.conv_id, r.turn]
+            assert t[r.content_char_start : r.content_char_end] == r.parsed_answer == r.text and r.confidence in ("high", "medium")
+        else:
+            assert r.method == "none" and r.failure_reason and r.char_start is None
+
+
+def test_near_pairs_with_and_without_blocks(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(70, 90))) for _ in range(30)]
+    texts += [t[:40] + "x" + t[40:] for t in texts[:10]] + ["x" + t for t in texts[10:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    every = {(i, j) for j in range(len(texts)) for i in range(j) if dedup.indel_ratio(texts[i], texts[j]) >= 0.92}
+    pairs = lambda **o: {(r.left, r.right) for r in dedup.near_pairs(df, id_="id", text=F.col("t"), **o).collect()}
+    assert pairs(width=0, head=0) == every
+    assert pairs() == {(i, j) for i, j in every if len(texts[i]) // 80 == len(texts[j]) // 80 and texts[i][:24] == texts[j][:24]}
