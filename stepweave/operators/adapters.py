@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers, text
+from ..sources import sinks
 
 #: Subsets of the labelled benchmark that the validity corpus takes, and what shows that a problem needs a picture.
 DOMAINS = {"math": "processbench_math", "olympiadbench": "processbench_olympiadbench", "omnimath": "processbench_omnimath"}
@@ -99,30 +100,33 @@ def keyword_domain(*fields: Column) -> Column:
 
 
 def source_census(rows: DataFrame, protected: DataFrame, *, order: str = "position") -> DataFrame:
-    """Rows (source_id, problem_text, gold_answer, ``order``) with the first ``reason`` that keeps them out of a reservoir.
+    """(source_id, ``order``, reason) of rows (source_id, problem_text, gold_answer, ``order``): the first reason that keeps a row out of a reservoir.
 
-    ``protected`` has (source_id, problem_text) of what other roles use.  Of rows that none of the first five rules keeps out, the first of
-    an id, of a normalised text and of a text without layout and white space stays, and the others are duplicates.
+    ``protected`` has (source_id, problem_text) of what other roles use; ``order`` is the rows' own sequence, without repeats.  Of rows that none of the
+    first five rules keeps out, the first of an id, of a normalised text and of a text without layout and white space stays, and the others are
+    duplicates.  Texts are read once; what is joined are their hashes.
     """
-    own = rows.withColumns({"_n": text.exact_hash(F.col("problem_text")), "_l": text.latex_hash(F.col("problem_text"))})
+    problem = F.col("problem_text")
+    keys = rows.select(
+        "source_id", order, text.exact_hash(problem).alias("_n"), text.latex_hash(problem).alias("_l"), blank(problem).alias("_empty"),
+        (F.coalesce("gold_answer", F.lit("")) == "").alias("_bare"), problem.rlike("(?i)" + "|".join(IMAGES)).alias("_image"),
+    )
+    folder = sinks.scratch(rows.sparkSession)
+    keys.write.parquet(folder)
+    own = rows.sparkSession.read.parquet(folder)
     ids = protected.where("source_id is not null").select("source_id").distinct().withColumn("_pi", F.lit(True))
-    some = protected.where(~blank(F.col("problem_text")))
-    norms = some.select(text.exact_hash(F.col("problem_text")).alias("_n")).distinct().withColumn("_pn", F.lit(True))
-    bare = some.select(text.latex_hash(F.col("problem_text")).alias("_l")).distinct().withColumn("_pl", F.lit(True))
-    own = own.join(ids, "source_id", "left").join(norms, "_n", "left").join(bare, "_l", "left")
+    some = protected.where(~blank(problem)).select(text.exact_hash(problem).alias("_n"), text.latex_hash(problem).alias("_l"))
+    own = own.join(ids, "source_id", "left").join(some.select("_n").distinct().withColumn("_pn", F.lit(True)), "_n", "left").join(some.select("_l").distinct().withColumn("_pl", F.lit(True)), "_l", "left")
     early = first_reason([
-        ("corrupted_or_empty_problem", blank(F.col("problem_text"))),
-        ("missing_deterministic_gold_answer", F.coalesce("gold_answer", F.lit("")) == ""),
-        ("unavailable_image_or_diagram_dependency", F.col("problem_text").rlike("(?i)" + "|".join(IMAGES))),
+        ("corrupted_or_empty_problem", F.col("_empty")),
+        ("missing_deterministic_gold_answer", F.col("_bare")),
+        ("unavailable_image_or_diagram_dependency", F.col("_image")),
         ("protected_canonical_id_overlap", F.col("_pi")),
-        ("protected_normalized_text_overlap", F.col("_pn") | F.col("_pl")),
-        ("protected_normalized_text_overlap", F.col("_pl")),
+        ("protected_normalized_text_overlap", F.coalesce("_pn", "_pl")),
     ])
     own = own.withColumn("_early", early)
     open_ = own.where("_early is null")
     for key in ("source_id", "_n", "_l"):  # texts equal in the finer form are equal in the coarser one
-        first = open_.groupBy(key).agg(F.min(order).alias(f"_f{key}"))
-        own = own.join(first, key, "left")
+        own = own.join(open_.groupBy(key).agg(F.min(order).alias(f"_f{key}")), key, "left")
     late = F.col(order) > F.least(*[F.col(f"_f{k}") for k in ("source_id", "_n", "_l")])
-    reason = F.coalesce("_early", F.when(late, "duplicate_within_or_across_source_reservoir"))
-    return own.select(*rows.columns, reason.alias("reason"))
+    return own.select("source_id", order, F.coalesce("_early", F.when(late, "duplicate_within_or_across_source_reservoir")).alias("reason"))

@@ -23,13 +23,19 @@ def draw(n: Column, *parts: Column) -> Column:
 DRAWN = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12))
 
 
+def spread(units: DataFrame, unit: str) -> DataFrame:
+    """The units in as many parts as the session works on: each becomes a row for every replicate, so that even few of them are work for all."""
+    spark = units.sparkSession
+    return units.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), unit)
+
+
 def cluster_bootstrap(units: DataFrame, stratum: str, unit: str, columns: list[str], replicates: int, seed: str) -> DataFrame:
     """(stratum, rep, *columns): means of resampled units, by stratum.
 
     How often a replicate draws a unit follows the Poisson law of mean 1, from a hash of (seed, stratum, replicate, unit).  So no
     unit has to know of any other: units are read once, and each task only passes on its sums for every stratum and replicate.
     """
-    reps = units.select(stratum, unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    reps = spread(units, unit).select(stratum, unit, *columns, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     u = draw(F.lit(1 << 52), F.lit(seed), F.col(stratum), F.col("rep"), F.col(unit)) / F.lit(float(1 << 52))
     times = sum((F.when(F.col("_u") >= p, 1).otherwise(0) for p in DRAWN), F.lit(0))
     drawn = reps.withColumn("_u", u).withColumn("_k", times)
@@ -45,7 +51,7 @@ def interval(reps: DataFrame, by: list[str], column: str, level: float = 0.95) -
 
 def sign_flip_p(units: DataFrame, unit: str, value: str, replicates: int, seed: str) -> DataFrame:
     """One-sided p of the mean under random signs, with the +1 correction."""
-    flips = units.select(unit, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    flips = spread(units, unit).select(unit, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     sign = 1 - 2 * draw(F.lit(2), F.lit(seed), F.col("rep"), F.col(unit))
     means = flips.groupBy("rep").agg(F.sum(sign * F.col(value)).alias("m"))
     observed = units.agg(F.sum(value).alias("o"))
