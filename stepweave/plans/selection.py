@@ -301,4 +301,7 @@ def ridge_cv(spark, d):
 
 @query("pca_whiten", "VEC06")
 def pca_whiten(spark, d):
-    return fitting.pca_whiten(vector_view(spark, d), by="parent", column="x")
+    v = vector_view(spark, d)
+    fits = fitting.whitenings(v, by="parent", fold="fold", column="x")
+    held = fitting.whiten(v, fits, by="parent", fold="fold", column="x", out="w").groupBy("parent", "fold").agg(F.count(F.lit(1)).alias("heldout_rows"), F.round(F.avg(vectors.dot(F.col("w"), F.col("w")) / F.size("w")), 5).alias("mean_square"))
+    return fits.select("parent", "fold", "fit_rows", "dimensions", F.round("explained", 6).alias("explained"), F.round("ridge", 9).alias("ridge")).join(held, ["parent", "fold"])

@@ -238,20 +238,71 @@ def test_vectors_against_numpy(spark):
     assert col(spark, vectors.unit(F.array(F.lit(0.0), F.lit(0.0)))) is None
 
 
-def test_fits_recover_parameters(spark):
+def newton(x, y, w, ridge=0.0):
+    """Weighted logistic regression on arrays."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta = beta - np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + (ridge + 1e-10) * np.eye(x.shape[1]), x.T @ (w * (p - y)) + ridge * beta)
+    return beta
+
+
+def test_fits_equal_those_on_arrays(spark):
     rng = np.random.default_rng(6)
-    z = rng.normal(size=4000)
-    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
-    a, b = fitting.fit_positive_affine(z, y, np.ones(4000))
-    assert abs(a - 2) < 0.2 and abs(b + 1) < 0.15
-    assert fitting.fit_positive_affine(z, 1 - y, np.ones(4000))[0] == 1e-8
-    df = spark.createDataFrame([("m", float(v), int(k), i // 4) for i, (v, k) in enumerate(zip(z[:2000], y[:2000], strict=True))], "m string, z double, s int, c int")
-    glm = {r.term: r for r in fitting.binomial_glm(df, by="m", x=["z"], success="s", trials=1, cluster="c").collect()}
-    assert abs(glm["z"].estimate - 2) < 4 * glm["z"].se
+    z, u = rng.normal(size=2000), rng.normal(size=2000)
+    y = (rng.random(2000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(int)
+    m = np.array(["a", "b"])[(np.arange(2000) % 5 == 0).astype(int)]
+    frame = pd.DataFrame({"m": m, "z": z, "u": u, "s": np.where(m == "a", y, 1 - y), "c": np.arange(2000) // 7, "fold": np.arange(2000) // 7 % 3})
+    df = spark.createDataFrame(frame)
+
+    glm = fitting.binomial_glm(df.unionByName(df.limit(3).withColumn("u", F.lit(None).cast("double"))), by="m", x=["z", "u"], success="s", trials=1, cluster="c").toPandas()
+    for g, own in frame.groupby("m"):
+        x = np.column_stack([np.ones(len(own)), own["z"], own["u"]])
+        beta = newton(x, own["s"].to_numpy(float), np.ones(len(own)))
+        p = 1 / (1 + np.exp(-x @ beta))
+        bread = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+        scores = pd.DataFrame(x * (own["s"].to_numpy() - p)[:, None]).groupby(own["c"].to_numpy()).sum().to_numpy()
+        cov = bread @ (scores.T @ scores) @ bread * len(scores) / (len(scores) - 1) * (len(own) - 1) / (len(own) - 3)
+        got = glm[glm["m"] == g].set_index("term").loc[["intercept", "z", "u"]]
+        assert np.allclose(got["estimate"], beta, atol=1e-7) and np.allclose(got["se"], np.sqrt(np.diag(cov)), atol=1e-7)
+
+    cal = fitting.crossfit_calibration(df, model="m", fold="fold", trace="c", logit="z", target="s", folds=3).toPandas().set_index(["model", "fold"])
+    assert len(cal) == 6
+    for fold in range(3):
+        own = frame[(frame["m"] == "a") & (frame["fold"] != fold)]
+        w = 1 / own.groupby("c")["z"].transform("size").to_numpy()
+        assert np.allclose(cal.loc[("a", fold), ["b", "a"]].to_numpy(float), newton(np.column_stack([np.ones(len(own)), own["z"]]), own["s"].to_numpy(float), w), atol=1e-7)
+        assert cal.loc[("b", fold), "a"] == 1e-8
+
+    probes = {r.train: r.weights for r in fitting.train_matrix(df, domain="m", x=["z", "u"], target="s").collect()}
+    assert sorted(probes) == ["a", "b", "without a", "without b"] and np.allclose(probes["a"], probes["without b"], atol=1e-7)
+    own = frame[frame["m"] == "b"]
+    assert np.allclose(probes["b"], newton(np.column_stack([np.ones(len(own)), own["z"], own["u"]]), own["s"].to_numpy(float), np.ones(len(own)), 1.0), atol=1e-7)
+
     ridge = fitting.grouped_ridge(spark.createDataFrame([(i, float(v), 3 * float(v) + 1) for i, v in enumerate(z[:500])], "g int, x double, t double"), x=["x"], target="t", group="g", folds=5).collect()
     assert all(r.rmse < 0.1 for r in ridge)
 
 
+def test_whitening_of_a_fold_is_fitted_without_it(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(90, 6)) * [5, 3, 2, 1, 0.1, 0.01] + 4
+    rows = [(i % 2, i // 2 % 3, i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (7, 0, 90, v[0].tolist())], "g int, fold int, id int, x array<double>").repartition(5)
+    fits = fitting.whitenings(df, by="g", fold="fold", column="x", share=0.9)
+    got = {(r.g, r.fold, r.id): r.w for r in fitting.whiten(df, fits, by="g", fold="fold", column="x", out="w").collect()}
+    assert len(got) == 90  # the group of one row has no other folds
+    for g in range(2):
+        for fold in range(3):
+            fit = np.array([x for a, f, _, x in rows if a == g and f != fold])
+            _, s, t = np.linalg.svd(fit - fit.mean(0), full_matrices=False)
+            var = s**2 / (len(fit) - 1)
+            k = int(np.searchsorted(np.cumsum(var) / var.sum(), 0.9)) + 1
+            for a, f, i, x in rows:
+                if (a, f) == (g, fold):
+                    want = t[:k] @ (np.array(x) - fit.mean(0)) / np.sqrt(var[:k] + 1e-3 * var[:k].mean())
+                    assert np.allclose(np.abs(got[a, f, i]), np.abs(want), atol=1e-6)
+
+
 def test_greedy_selections_meet_quotas(spark):
     rows = [("m", i, "d%d" % (i % 3), (i % 11) / 10, f"{i * 7919 % 1000:04d}") for i in range(200)]
     df = spark.createDataFrame(rows, "model string, trace long, domain string, rate double, tie string")
