@@ -78,7 +78,7 @@ def registry_audit(spark, d):
 
 @query("registry_reports", "REG05 REG02", f"""{_JOBS}, r as (select job_id, 'w' || (job_id // 8) % 4 as w, case when job_id % 3 = 1 then 'failed' else 'complete' end as outcome from j where job_id % 2 = 0),
  x as (select j.*, r.outcome, case when r.job_id is not null then coalesce(status = 'running' and worker = r.w, false) end as accepted from j left join r using (job_id))
- select case when accepted then outcome else status end as status, coalesce(accepted::varchar, 'none') as accepted, count(*) as n, count(case when not coalesce(accepted, false) then worker end) as held from x group by all""")
+ select case when accepted and outcome = 'failed' then 'pending' when accepted then 'complete' else status end as status, coalesce(accepted::varchar, 'none') as accepted, count(*) as n, count(case when not coalesce(accepted and outcome = 'failed', false) then worker end) as held from x group by all""")
 def registry_reports(spark, d):
     jobs, k = _jobs(spark, d), F.col("job_id")
     reports = jobs.where(k % 2 == 0).select("job_id", F.concat(F.lit("w"), (F.floor(k / 8) % 4).cast("string")).alias("worker"), F.when(k % 3 == 1, "failed").otherwise("complete").alias("outcome"))
@@ -86,6 +86,28 @@ def registry_reports(spark, d):
     return done.groupBy("status", F.coalesce(F.col("accepted").cast("string"), F.lit("none")).alias("accepted")).agg(F.count(F.lit(1)).alias("n"), F.count("worker").alias("held"))
 
 
+@query("registry_lease", "REG02 REG03 REG04 REG05", f"""with {TR}, j as (select trace_id as job_id, problem_group as checkpoint, base_model as model, work, trace_id % 3 as prefix, trace_id % 2 as priority, case when status = 'F' then 'complete' when status = 'P' and trace_id % 10 >= 5 then 'running' else 'pending' end as status from tr),
+ f as (select checkpoint, model, min(priority) as p, sum(work) as w, min(prefix) as x from j where status = 'pending' and checkpoint not in (select checkpoint from j where status = 'running') group by all),
+ b as (select checkpoint, model from f where model = 'm1' order by p, w desc, x, checkpoint limit 1)
+ select job_id, checkpoint, model, 'running' as status, 'w9' as worker, 35 as lease_until, 1 as attempts from j join b using (checkpoint, model) where status = 'pending'""")
+def registry_lease(spark, d):
+    k = F.col("trace_id")
+    held = F.col("status") == "P"
+    status = F.when(F.col("status") == "F", "complete").when(held, "running").otherwise("pending")
+    jobs = traces(spark, d).select(k.alias("job_id"), F.col("problem_group").alias("checkpoint"), F.col("base_model").alias("model"), "work", (k % 3).alias("prefix"), (k % 2).alias("priority"), status.alias("status"), F.when(held, F.lit("w")).alias("worker"), F.when(held, (k % 10).cast("int")).alias("lease_until"), F.lit(0).alias("attempts"))
+    return integrity.claim_checkpoint(jobs, worker="w9", model="m1", now=5, lease=30).where("claimed").select("job_id", "checkpoint", "model", "status", "worker", "lease_until", "attempts")
+
+
+@query("registry_keys", "REG01", """select 'slot' as rule, count(*) as violations from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)
+ union all select 'seed', count(*) from (select 1 from lineitem group by l_orderkey, l_partkey having count(*) > 1) union all select 'checkpoint', count(*) from (select 1 from orders group by o_orderkey having count(*) > 1)
+ union all select 'parent', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')""")
+def registry_keys(spark, d):
+    slots = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("checkpoint"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("seed"))
+    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("checkpoint"), "o_orderstatus")
+    keys = {"slot": (slots, ["checkpoint", "slot"]), "seed": (slots, ["checkpoint", "seed"]), "checkpoint": (parents, ["checkpoint"])}
+    return integrity.key_violations(keys, {"parent": (slots, parents.where("o_orderstatus <> 'P'"), ["checkpoint"])})
+
+
 @query("worker_loads", "PAK02")
 def worker_loads(spark, d):
     """Packs of a model's work on eight workers; compared with a plain loop in tests."""

@@ -19,30 +19,63 @@ def merge(left: dict, right: dict) -> dict:
     return out
 
 
-def load(path: str, overrides: list[str] = (), _seen: tuple[str, ...] = ()) -> dict:
-    """A JSON file with ``include`` (a path or a list, relative to it), its own keys over the included, then ``a.b=value``."""
-    full = os.path.abspath(path)
-    if full in _seen:
-        raise ValueError(f"include cycle: {[*_seen, full]}")
-    with open(full, encoding="utf-8") as f:
-        own = json.load(f)
-    includes = own.pop("include", [])
-    base: dict = {}
-    for one in [includes] if isinstance(includes, str) else includes:
-        base = merge(base, load(os.path.join(os.path.dirname(full), one), (), (*_seen, full)))
-    out = merge(base, own)
-    for item in overrides:
-        key, _, raw = item.partition("=")
-        try:
-            value = json.loads(raw)
-        except ValueError:
-            value = raw
-        for part in reversed(key.split(".")):
-            value = {part: value}
-        out = merge(out, value)
+def layers(path: str) -> list[dict]:
+    """The trees of a file and all that it includes, in the order in which they are laid over each other: the included first, the file last."""
+    out: list[dict] = []
+    todo: list[tuple[str, dict | None]] = [(os.path.abspath(path), None)]
+    open_files: list[str] = []
+    while todo:
+        file, own = todo.pop()
+        if own is not None:  # all that it includes is out
+            open_files.remove(file)
+            out.append(own)
+            continue
+        if file in open_files:
+            raise ValueError(f"cycle of includes at {file}")
+        with open(file, encoding="utf-8") as f:
+            own = json.load(f)
+        if not isinstance(own, dict):
+            raise ValueError(f"{file} holds no object")
+        names = own.pop("include", [])
+        names = [names] if isinstance(names, str) else names
+        if not isinstance(names, list) or not all(isinstance(n, str) for n in names):
+            raise ValueError(f"{file}: include is a path or a list of paths")
+        open_files.append(file)
+        todo.append((file, own))
+        todo += [(os.path.abspath(os.path.join(os.path.dirname(file), n)), None) for n in reversed(names)]
+    return out
+
+
+def put(tree: dict, item: str) -> dict:
+    """The tree with ``a.b=value``; the value is JSON if it parses, else text.  A path through a value that is no object is an error."""
+    path, eq, raw = item.partition("=")
+    keys = path.split(".")
+    if not eq or not all(keys):
+        raise ValueError(f"no override: {item!r}")
+    try:
+        value = json.loads(raw)
+    except ValueError:
+        value = raw
+    at = out = merge({}, tree)
+    for key in keys[:-1]:
+        below = at.get(key, {})
+        if not isinstance(below, dict):
+            raise ValueError(f"{item!r}: {key} is a value and no object")
+        at[key] = at = dict(below)
+    at[keys[-1]] = value
     return out
 
 
+def load(path: str, overrides: list[str] = ()) -> dict:
+    """A JSON file over what it includes (a path or a list, relative to it), with overrides ``a.b=value``."""
+    tree: dict = {}
+    for layer in layers(path):
+        tree = merge(tree, layer)
+    for item in overrides:
+        tree = put(tree, item)
+    return tree
+
+
 def digest(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 

@@ -411,7 +411,12 @@ def test_packs_need_markers_that_equal_their_bytes(spark, tmp_path):
 def test_config_and_stage_manifest(tmp_path):
     (tmp_path / "base.json").write_text('{"a": {"x": 1, "y": 2}, "b": 3}')
     (tmp_path / "own.json").write_text('{"include": "base.json", "a": {"y": 5}}')
-    assert config.load(str(tmp_path / "own.json"), ["a.z=7"]) == {"a": {"x": 1, "y": 5, "z": 7}, "b": 3}
+    assert config.load(str(tmp_path / "own.json"), ["a.z=7", "c.d=t"]) == {"a": {"x": 1, "y": 5, "z": 7}, "b": 3, "c": {"d": "t"}}
+    (tmp_path / "both.json").write_text('{"include": ["own.json", "base.json"]}')
+    assert config.load(str(tmp_path / "both.json")) == {"a": {"x": 1, "y": 2}, "b": 3}
+    for bad in ("b.x=1", "a", ".x=1"):
+        with pytest.raises(ValueError):
+            config.load(str(tmp_path / "own.json"), [bad])
     (tmp_path / "loop.json").write_text('{"include": "loop.json"}')
     with pytest.raises(ValueError, match="cycle"):
         config.load(str(tmp_path / "loop.json"))
@@ -491,6 +496,44 @@ def test_answer_places_are_slices_of_the_texts(spark):
             assert r.method == "none" and r.failure_reason and r.char_start is None
 
 
+def test_a_claim_falls_back_to_the_model_with_most_work(spark):
+    from stepweave.operators import integrity
+
+    rows = [(1, 1, "a", "running", "w", 9, 1, 5.0, 1, 1), (2, 1, "a", "pending", None, None, 1, 5.0, 1, 0), (3, 2, "b", "pending", None, None, 1, 2.0, 1, 0), (4, 3, "c", "running", "w", 1, 1, 1.0, 1, 1), (5, 3, "c", "pending", None, None, 1, 4.0, 1, 0)]
+    jobs = spark.createDataFrame(rows, "job_id int, checkpoint int, model string, status string, worker string, lease_until int, priority int, work double, prefix int, attempts int")
+    claim = lambda m, t: {r.job_id: (r.status, r.worker, r.lease_until, r.attempts) for r in integrity.claim_checkpoint(jobs, worker="x", model=m, now=t, lease=10).where("claimed").collect()}
+    assert claim("a", 5) == {4: ("running", "x", 15, 2), 5: ("running", "x", 15, 1)}  # a has a running job on its checkpoint; c's lease ended
+    assert claim("b", 5) == {3: ("running", "x", 15, 1)}
+    assert claim("a", 10) == {1: ("running", "x", 20, 2), 2: ("running", "x", 20, 1)}
+    assert integrity.claim_checkpoint(jobs.where("status = 'running'"), worker="x", model="a", now=0, lease=1).where("claimed").isEmpty()
+
+
+def test_packs_and_folds_equal_plain_loops(spark):
+    from stepweave.plans import selection as plans
+    from stepweave.plans.views import traces
+
+    rows = traces(spark, SF).collect()
+    want = {}
+    for model in {r.base_model for r in rows}:
+        own = sorted((r for r in rows if r.base_model == model), key=lambda r: (-r.work, r.trace_id))
+        packs = [[0.0, 0] for _ in range(-(-len(own) // 64))]
+        for r in own:
+            i = min((i for i, p in enumerate(packs) if p[1] < 64), key=lambda i: (packs[i][0], i))
+            packs[i] = [packs[i][0] + r.work, packs[i][1] + 1]
+            want[r.trace_id] = (i, packs[i][0])
+    got = {r.trace_id: (r.pack, r.load) for r in plans.lpt_packs(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_sequential_queries_equal_plain_python(spark):
+    from stepweave.plans import sequential
+
+    names = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    assert {r.n_nationkey: list(r["items"]) for r in sequential.legacy_lists(spark, SF).collect()} == {k: [n, "it's", "two"] for k, n in names.items()}
+    turns = sorted((r.conv_id, r.turn, "\\frac{1}{%d}" % r.turn) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect())
+    assert sorted(tuple(r) for r in sequential.boxed_regions(spark, SF).collect()) == turns
+
+
 def test_near_pairs_with_and_without_blocks(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(70, 90))) for _ in range(30)]
