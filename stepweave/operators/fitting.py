@@ -16,10 +16,12 @@ GROUPS = 10_000
 
 
 def _stored(rows: DataFrame) -> DataFrame:
-    """The narrow table of a fit, written once and read at each step."""
-    folder = sinks.scratch(rows.sparkSession)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
+    """The narrow table of a fit, written once and read at each step; dealt evenly, so that each step is work for all tasks."""
+    spark = rows.sparkSession
+    folder = sinks.scratch(spark)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts).write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def _with_parameters(rows: DataFrame, by: list[str], found: dict[tuple, list]) -> DataFrame:
@@ -78,8 +80,8 @@ def crossfit_calibration(df: DataFrame, *, model: str, fold: str, trace: str, lo
     weights = own.groupBy("model", "_t").agg((1 / F.count(F.lit(1))).alias("w"))
     others = own.join(weights, ["model", "_t"]).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("fold") != F.col("_own"))
     rows = _stored(others.select("model", "fold", "z", "y", "w").dropna())
-    flat = {(r["model"], r["fold"]): r for r in rows.groupBy("model", "fold").agg((F.min("z") == F.max("z")).alias("one"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("rate")).limit(GROUPS).collect()}
     fits, out = logistic_fits(rows, by=["model", "fold"], x=["z"], y="y", w="w"), []
+    flat = {(r["model"], r["fold"]): r for r in rows.groupBy("model", "fold").agg((F.min("z") == F.max("z")).alias("one"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("rate")).collect()}  # a row a fit
     for key, r in flat.items():
         b, a = map(float, fits[key])
         if r["one"] or a <= 0:
