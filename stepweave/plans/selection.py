@@ -127,7 +127,7 @@ def unfinished_packs(spark, d):
     return p.groupBy("base_model").agg(F.count(F.lit(1)).alias("packs"), F.count_if(todo).alias("unfinished"), F.round(F.sum(F.when(todo, F.col("work"))), 2).alias("remaining"))
 
 
-@query("lpt_packs", "PAK01 PAK02")
+@query("lpt_packs", "PAK01")
 def lpt_packs(spark, d):
     return selection.lpt_packs(traces(spark, d), "base_model", "trace_id", "work", 64)
 
@@ -289,7 +289,7 @@ def calibrate_oof(spark, d):
     return scored.groupBy("base_model", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("oof"), 6).alias("mean_oof"), F.round(F.avg("y"), 6).alias("mean_y"))
 
 
-@query("glm_cluster", "FIT04 MET15")
+@query("glm_cluster", "FIT04")
 def glm_cluster(spark, d):
     return fitting.binomial_glm(checkpoints(spark, d), by="base_model", x=["raw_logit", "ordinal"], success="success_count", trials=4, cluster="trace_id")
 

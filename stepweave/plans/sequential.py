@@ -18,7 +18,7 @@ def boxed_regions(spark, d):
     return c.select("conv_id", "turn", F.explode(segments.boxed_udf()("t")).alias("b")).select("conv_id", "turn", "b.content")
 
 
-@query("segment_documents", "STR32 STR33 STR34")
+@query("segment_documents", "STR32 STR33")
 def segment_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     s = docs.select("doc_id", segments.paragraphs_udf()("text").alias("p"), segments.fixed_udf(64)("text").alias("f"), segments.hybrid_udf()("text").alias("h"))
