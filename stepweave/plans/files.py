@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import integrity, selection
 from ..registry import query
-from ..sources import sinks, tables
+from ..sources import config, sinks, tables
 from .views import CK, TR, checkpoints, table, traces
 
 _NATION = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.LongType())])
@@ -59,6 +59,50 @@ def published_rows(spark, d):
     return spark.read.parquet(path).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 4).alias("balance"))
 
 
+@query("configured_rows", "SRC16", "select n_regionkey, count(*) as n from nation where n_regionkey >= 1 and n_name > 'E' group by n_regionkey having count(*) >= 2")
+def configured_rows(spark, d):
+    """A selection whose bounds come from a configuration: a file, what it includes, and an override."""
+    path = sinks.scratch(spark)
+    for name, tree in {"base": {"keep": {"region": 0, "name": "A"}, "least": 9}, "own": {"include": "base.json", "keep": {"region": 1}, "least": 2}}.items():
+        sinks.shared_json(spark, f"{path}/{name}.json", tree)
+    c = config.load(f"{path}/own.json", ["keep.name=E"], lambda p: sinks.shared_text(spark, p))
+    rows = table(spark, d, "nation").where((F.col("n_regionkey") >= c["keep"]["region"]) & (F.col("n_name") > c["keep"]["name"]))
+    return rows.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= c["least"])
+
+
+@query("stage_manifests", "SRC15", f"select 'load' as stage, 'COMPLETE' as status, count(*) as rows, true as traced, '{config.digest({'seed': 7})}' as config from nation union all select 'refused', 'FAILED', null, true, '{config.digest({'seed': 7})}'")
+def stage_manifests(spark, d):
+    """Manifests of two stages, one of which may not read its input."""
+    path = sinks.scratch(spark)
+    write = lambda p, value: sinks.shared_json(spark, p, value)
+    with config.stage(path, "load", {"seed": 7}, write) as state:
+        state["rows"] = table(spark, d, "nation").count()
+    try:
+        with config.stage(path, "refused", {"seed": 7}, write):
+            tables.read_jsonl(spark, f"{path}/free_running")
+    except tables.AccessError:
+        pass
+    found = spark.read.schema("stage string, status string, rows long, seed long, config string, started double, ended double, versions map<string, string>").json(path)
+    return found.select("stage", "status", "rows", ((F.col("ended") >= F.col("started")) & (F.col("seed") == 7) & F.col("versions.pyspark").isNotNull()).alias("traced"), "config")
+
+
+@query("guarded_paths", "FIL11", """with p as (select case n_regionkey % 3 when 0 then 'runs/teacher_forced/' when 1 then 'runs/Free_Running/' else 'runs/final_test_outcomes/free_running/' end || n_name as path from nation)
+select array_to_string(list_filter(['free_running', 'final_test_outcomes'], lambda x: contains(lower(path), x)), ',') as refused, count(*) as n, min(path) as first from p group by 1""")
+def guarded_paths(spark, d):
+    k = F.col("n_regionkey") % 3
+    folder = F.when(k == 0, "runs/teacher_forced/").when(k == 1, "runs/Free_Running/").otherwise("runs/final_test_outcomes/free_running/")
+    p = table(spark, d, "nation").select(F.concat(folder, "n_name").alias("path"))
+    return p.groupBy(F.array_join(tables.refused(F.col("path")), ",").alias("refused")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+
+
+@query("report_lines", "REP01", f"""with {TR}, g as (select base_model, status, count(*) as n, min(domain) as d from tr group by all), x as (select 1 + row_number() over (order by base_model, status) as line, '| ' || base_model || ' | ' || status || ' | ' || n || ' | ' || d || ' |' as text from g)
+select 0::bigint as line, '| base_model | status | n | domain |' as text union all select 1, '|---|---|---|---|' union all select * from x""")
+def report_lines(spark, d):
+    """The lines of a Markdown report of a small result."""
+    g = traces(spark, d).groupBy("base_model", "status").agg(F.count(F.lit(1)).alias("n"), F.min("domain").alias("domain")).orderBy("base_model", "status")
+    return spark.createDataFrame(list(enumerate(sinks.markdown(g).split("\n"))), "line long, text string")
+
+
 _JOBS = f"""with {TR}, j as (select trace_id as job_id, base_model as model, case status when 'F' then 'complete' when 'O' then 'pending' when 'P' then case when trace_id % 5 = 0 then 'lost' else 'running' end end as status,
  case when (status = 'P' and trace_id % 3 <> 0) or (status = 'O' and trace_id % 7 = 0) then 'w' || trace_id % 4 end as worker, case when status = 'P' then trace_id % 10 end as lease_until from tr)"""
 

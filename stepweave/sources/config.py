@@ -6,7 +6,12 @@ import contextlib
 import hashlib
 import json
 import os
+import platform
 import time
+from collections.abc import Callable
+from urllib.parse import urlsplit, urlunsplit
+
+import pyspark
 
 from .sinks import atomic_json
 
@@ -19,10 +24,21 @@ def merge(left: dict, right: dict) -> dict:
     return out
 
 
-def layers(path: str) -> list[dict]:
+def place(path: str) -> str:
+    """One name for a file: absolute, or with its scheme where it has one."""
+    scheme, host, rest, _, _ = urlsplit(path)
+    return urlunsplit((scheme, host, os.path.normpath(rest), "", "")) if scheme else os.path.abspath(path)
+
+
+def read_local(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def layers(path: str, read: Callable[[str], str] = read_local) -> list[dict]:
     """The trees of a file and all that it includes, in the order in which they are laid over each other: the included first, the file last."""
     out: list[dict] = []
-    todo: list[tuple[str, dict | None]] = [(os.path.abspath(path), None)]
+    todo: list[tuple[str, dict | None]] = [(place(path), None)]
     open_files: list[str] = []
     while todo:
         file, own = todo.pop()
@@ -32,8 +48,7 @@ def layers(path: str) -> list[dict]:
             continue
         if file in open_files:
             raise ValueError(f"cycle of includes at {file}")
-        with open(file, encoding="utf-8") as f:
-            own = json.load(f)
+        own = json.loads(read(file))
         if not isinstance(own, dict):
             raise ValueError(f"{file} holds no object")
         names = own.pop("include", [])
@@ -42,7 +57,7 @@ def layers(path: str) -> list[dict]:
             raise ValueError(f"{file}: include is a path or a list of paths")
         open_files.append(file)
         todo.append((file, own))
-        todo += [(os.path.abspath(os.path.join(os.path.dirname(file), n)), None) for n in reversed(names)]
+        todo += [(place(os.path.join(os.path.dirname(file), n)), None) for n in reversed(names)]
     return out
 
 
@@ -66,10 +81,10 @@ def put(tree: dict, item: str) -> dict:
     return out
 
 
-def load(path: str, overrides: list[str] = ()) -> dict:
-    """A JSON file over what it includes (a path or a list, relative to it), with overrides ``a.b=value``."""
+def load(path: str, overrides: list[str] = (), read: Callable[[str], str] = read_local) -> dict:
+    """A JSON file over what it includes (a path or a list, relative to it), with overrides ``a.b=value``; ``read`` gives a file's text."""
     tree: dict = {}
-    for layer in layers(path):
+    for layer in layers(path, read):
         tree = merge(tree, layer)
     for item in overrides:
         tree = put(tree, item)
@@ -81,15 +96,14 @@ def digest(value: object) -> str:
 
 
 @contextlib.contextmanager
-def stage(folder: str, name: str, config: dict):
-    """A manifest that says RUNNING, then COMPLETE or FAILED."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{name}.json")
-    state = {"stage": name, "config": digest(config), "started": time.time(), "status": "RUNNING"}
-    atomic_json(path, state)
+def stage(folder: str, name: str, config: dict, write: Callable[[str, object], None] = atomic_json):
+    """A manifest that says RUNNING, then COMPLETE or FAILED, with versions, the configuration's digest and what the stage adds to the value it is given."""
+    path = f"{folder}/{name}.json"
+    state = {"stage": name, "config": digest(config), "seed": config.get("seed"), "versions": {"python": platform.python_version(), "pyspark": pyspark.__version__}, "started": time.time(), "status": "RUNNING"}
+    write(path, state)
     try:
         yield state
     except BaseException as e:
-        atomic_json(path, state | {"status": "FAILED", "error": repr(e), "ended": time.time()})
+        write(path, state | {"status": "FAILED", "error": repr(e), "ended": time.time()})
         raise
-    atomic_json(path, state | {"status": "COMPLETE", "ended": time.time()})
+    write(path, state | {"status": "COMPLETE", "ended": time.time()})

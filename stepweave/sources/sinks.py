@@ -73,6 +73,7 @@ def publish(df: DataFrame, path: str, order: list[str], columns: list[str]) -> s
 def atomic_json(path: str, value: object) -> None:
     """A small JSON file on the driver's side: written beside its place, then moved there."""
     folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
     fd, part = tempfile.mkstemp(dir=folder)
     with os.fdopen(fd, "w", encoding="utf-8") as f:
         json.dump(value, f, sort_keys=True, ensure_ascii=False, indent=1)
@@ -81,6 +82,23 @@ def atomic_json(path: str, value: object) -> None:
     os.replace(part, path)
 
 
+def shared_json(spark: SparkSession, path: str, value: object) -> None:
+    """A small JSON file in any store that Spark can write: written beside its place, then renamed; for a moment there may be none."""
+    place, part = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, False)
+    out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(part, place):
+        raise OSError(f"{path} could not be written")
+
+
+def shared_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file in any store that Spark can read."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; at most ``most`` rows are taken."""
     rows = df.limit(most).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,12 @@ def guard(path: str, forbidden: tuple[str, ...] = FORBIDDEN) -> str:
     return path
 
 
+def refused(path: Column, forbidden: tuple[str, ...] = FORBIDDEN) -> Column:
+    """The forbidden names in a path of a manifest, an empty list if it may be read; none of a null."""
+    low = F.lower(path)
+    return F.filter(F.array(*[F.lit(x) for x in forbidden]), lambda x: F.coalesce(low.contains(x), F.lit(False)))
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions import answers, hashing, segments, text
-from stepweave.operators import dedup, fitting, greedy, joins, metrics, ordered, policy, resampling, selection, vectors
+from stepweave.operators import composite, dedup, fitting, greedy, joins, metrics, ordered, policy, resampling, selection, vectors
 from stepweave.sources import config, sinks, tables
 from stepweave.streaming import events
 
@@ -425,6 +425,32 @@ def test_config_and_stage_manifest(tmp_path):
     assert json.loads((tmp_path / "s.json").read_text())["status"] == "FAILED"
 
 
+def test_files_of_the_shared_store(spark, tmp_path):
+    root = f"file:{tmp_path}"
+    for name, tree in {"a": {"x": 1, "include": "sub/../b.json"}, "b": {"include": ["c.json"], "y": 2}, "c": {"y": 1, "z": "é"}, "loop": {"include": "sub/../loop.json"}}.items():
+        sinks.shared_json(spark, f"{root}/{name}.json", {"old": 1})
+        sinks.shared_json(spark, f"{root}/{name}.json", tree)
+    read = lambda p: sinks.shared_text(spark, p)
+    assert config.load(f"{root}/a.json", ["z=3"], read) == {"x": 1, "y": 2, "z": 3}
+    with pytest.raises(ValueError, match="cycle"):
+        config.load(f"{root}/loop.json", read=read)
+    assert sorted(p.name for p in tmp_path.glob("[!.]*.json*")) == ["a.json", "b.json", "c.json", "loop.json"]
+    paths = spark.createDataFrame([("x/FREE_running/y",), (None,), ("x",)], "p string")
+    assert [r.v for r in paths.select(tables.refused(F.col("p")).alias("v")).collect()] == [["free_running"], [], []]
+
+
+def test_bundles_without_contrast_or_variance(spark):
+    rows = [(t, i, 0.5, z, -z) for t in range(3) for i, z in enumerate((1.0, 2.0, 2.0))]
+    df = spark.createDataFrame(rows, "t long, i int, y double, a double, c double")
+    got = {r.model: r for r in composite.model_contrasts(df, models={"axis": "a", "control": "c", "other": "c"}, unit="t", order="i", outcome="y", axis="axis", control="control", best=["other"], replicates=5, seed="s").collect()}
+    assert got["axis"].eta is None and got["axis"].gap is None and got["axis"].concordance is None and got["axis"].rho is None
+    assert got["other"].best and not got["axis"].best and got["other"].gap == got["other"].lo == got["other"].hi == 0
+    one = composite.within_unit(df.withColumn("g", F.lit(1)), by=["g"], unit="t", order="i", score="a", outcome="y").first()
+    assert (one.units, one.rows, one.pearson, one.rho, one.slope, one.adjacent, one.median_rho) == (3, 9, None, None, 0.0, None, None)
+    empty = composite.within_unit(df.where("t < 0").withColumn("g", F.lit(1)), by=["g"], unit="t", order="i", score="a", outcome="y")
+    assert empty.count() == 0
+
+
 def test_streamed_windows_equal_the_batch(spark):
     stream = events.windowed(events.read_events(spark, SF))
     q = stream.writeStream.outputMode("complete").format("memory").queryName("windows").start()
