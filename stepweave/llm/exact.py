@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
 Texts are split into blocks of a fixed number of characters.  Equal blocks get equal
-integer names, from the sorted list of distinct blocks; then neighbouring names of
+integer names, their places among the distinct blocks sorted by hash, then text; then neighbouring names of
 a text are paired, equal pairs get equal names in the same way, and so on, until each text has one name.
 Two texts of as many blocks have the same name exactly if they are identical: names
 stand for contents, so nothing rests on a hash having no collisions.
@@ -13,6 +13,8 @@ unique table, which adaptive execution splits.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +25,18 @@ BLOCK = 1024
 
 
 def _named(keys: DataFrame, *by: str) -> DataFrame:
-    """Distinct rows with an integer ``name`` each: their place in the sorted partitions."""
-    return keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+    """Distinct rows with an integer ``name`` each: their place in the sorted table, from 0, however it is partitioned.
+
+    Rows are dealt by ranges of their order, and a row's place is that in its partition after the sizes of those before; the
+    sizes, a number a partition, are all that is collected.
+    """
+    dealt = keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
+    rows = cut(dealt, NARROW).withColumn("part", F.shiftright("at", 33))
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    begins = [0, *accumulate(n for _, n in sizes)]
+    first = keys.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, begins, strict=False)], "part long, first long")
+    place = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(first), "part").select(*keys.columns, place.alias("name"))  # a row a partition
 
 
 def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +53,7 @@ def block_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) ->
 
     found = own.select(F.explode("blocks").alias("b")).select(hashed(F.col("b")).alias("h"), "b").groupBy("h").agg(F.sort_array(F.collect_set("b")).alias("texts"))
     found = found.select("h", F.size("texts").alias("n"), F.posexplode("texts").alias("no", "b"))
-    names = cut(_named(found, "h", "no").select("h", "n", F.when(F.col("n") > 1, F.col("b")).alias("b"), "name"), NARROW)
+    names = _named(found.select("h", "no", "n", F.when(F.col("n") > 1, F.col("b")).alias("b")), "h", "no")
 
     places = rows.select("uid", "doc_id", "sha", F.posexplode("hashes").alias("pos", "h"))
     placed = places.join(names.where("n = 1").select("h", "name"), "h").select("uid", "pos", "name")
@@ -75,7 +87,7 @@ def text_names(docs: DataFrame, *, block: int = BLOCK, hash_bits: int = 64) -> D
         width *= 2
         open_ = state.where(F.size("names") > 1)
         pairs = open_.select("uid", F.posexplode(_pairs(F.col("names"))).alias("pos", "p")).select("uid", "pos", "p.a", "p.b")
-        names = cut(_named(pairs.select("a", "b").distinct(), "a", "b"), NARROW)
+        names = _named(pairs.select("a", "b").distinct(), "a", "b")
         state = cut(_in_order(pairs.join(names, ["a", "b"])), NARROW)
         done = done.unionByName(state.where(F.size("names") == 1).select("uid", F.element_at("names", 1).alias("name")))
     return rows.join(done, "uid")

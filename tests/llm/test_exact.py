@@ -35,3 +35,12 @@ def test_kept_rows_and_empty_table(spark):
     assert left.columns == docs.columns
     assert sorted(tuple(r)[:2] for r in left.collect()) == [(2, "a"), (4, "")]
     assert exact.exact_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_names_are_places_in_sorted_order_however_rows_are_dealt(spark):
+    docs = frame(spark, [(i, "".join(chr(97 + i * k % 11) for k in range(i % 40)), "", "") for i in range(200)])
+    several = [sorted((r.doc_id, r.n_blocks, r.name) for r in exact.text_names(docs.repartition(n), block=4).collect()) for n in (1, 7)]
+    assert several[0] == several[1]
+    pairs = docs.selectExpr("doc_id % 17 as a", "doc_id % 5 as b").distinct().repartition(5)
+    found = exact._named(pairs, "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(found, key=lambda r: r.name)] == sorted((r.a, r.b) for r in found) and sorted(r.name for r in found) == list(range(85))
