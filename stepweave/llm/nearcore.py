@@ -6,9 +6,8 @@ Within a band's bucket every class is first compared with one representative
 give components.  Only buckets whose classes are then still in different
 components are read again, and their members compared by signature in blocks; pairs whose
 estimate leaves a link possible are checked on full sets.  So a bucket of near copies costs a row a
-member, and no pair of different texts in a common bucket goes unseen.  A bucket of more blocks than there are bands is first
-divided by second bands, since similar classes agree in several.  Of a block only its members are held in memory; the members of
-other blocks pass by.
+member, and no pair of different texts in a common bucket goes unseen, whatever the bucket's size.  Of a block only its members are held
+in memory; the members of other blocks pass by.
 """
 
 from __future__ import annotations
@@ -310,20 +309,6 @@ def _checked(dealt: DataFrame, percent: int, step: int, miss: float) -> DataFram
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _sub_buckets(large: DataFrame, classes: DataFrame, *, bands: int, rows: int, block: int) -> DataFrame:
-    """(key, digest, root, blocks): the members of very large buckets by pairs of bands, and only where several components meet.
-
-    Similar classes agree in more than one band, so a bucket of n classes becomes ``bands`` rows a class, where blocks of it
-    would be met by n / ``block`` rows a class.
-    """
-    keyed = band_keys(large.select("digest").distinct().join(classes.select("digest", "sig"), "digest"), bands=bands, rows=rows).withColumnRenamed("key", "other")
-    both = large.select("key", "digest", "root").join(keyed, "digest").where("key <> other")
-    twice = both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "digest", "root").distinct()
-    twice = cut(twice, NARROW)
-    met = twice.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    return twice.join(met.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key").select("key", "digest", "root", "blocks")
-
-
 def _by_block(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "guest", "digest")
 
@@ -334,8 +319,9 @@ def linked_classes(docs: DataFrame, *, shingle: int = 5, percent: int = 80, band
     Classes are documents with equal shingle sets; those whose sets share ``percent`` per cent of their union are linked, and
     linked classes have one root.  Documents without words are in no class.
     A link is missed if no band agrees, of which the chance at the threshold is (1 - (percent/100) ** rows) ** bands
-    (5e-8 as set), if the one band that agrees is that of a bucket of more than ``bands`` blocks (1e-6), or if the
-    sequential test drops it (``miss`` at most, over all its batches); what is reported as linked is linked.
+    (5e-8 as set), or if the sequential test drops it (``miss`` at most, over all its batches); what is reported as linked is
+    linked.  ``block`` only sets what one task holds: of a bucket of n classes in several components, those outside its
+    largest component are met by n / ``block`` blocks.
     """
     sigs = cut(signatures(docs, shingle=shingle, hashes=bands * rows, lower=lower))
     members = sigs.select("doc_id", "txt", "n_shingles", "digest")
@@ -360,9 +346,6 @@ def linked_classes(docs: DataFrame, *, shingle: int = 5, percent: int = 80, band
     left = cut(rooted.drop("n").join(cut(mixed, NARROW), "key"), NARROW)
     if left.isEmpty():
         return members, roots
-    large = left.where(F.col("blocks") > bands)
-    if not large.isEmpty():
-        left = cut(left.where(F.col("blocks") <= bands).select("key", "digest", "root", "blocks").unionByName(_sub_buckets(large, classes, bands=bands, rows=rows, block=block)), NARROW)
     sizes = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     main = cut(sizes.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m")).select("key", F.col("m.root").alias("main")), NARROW)
     own = left.join(main, "key").withColumn("at", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))

@@ -526,3 +526,21 @@ def test_columns_of_operators_may_clash(spark):
     for out in (exact.drop_exact_duplicates(docs), near.drop_near_duplicates(docs), mixing.apply_mix(docs), language.fit(docs).predict(docs).select("row.*")):
         assert out.columns == names
         assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names[4:])
+
+
+def test_links_of_large_buckets_do_not_need_a_second_band(spark):
+    from stepweave.llm import nearcore
+
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"v{rng.random()}" if rng.random() < 0.08 else w for w in base) for _ in range(60)]
+    docs = docs_of(spark, texts)
+    roots = []
+    for block in (1, 1024):
+        members, found = nearcore.linked_classes(docs, shingle=1, bands=2, rows=2, step=4, block=block)
+        root = {bytes(r.digest): bytes(r.root) for r in found.collect()}
+        groups = {}
+        for r in members.collect():
+            groups.setdefault(root[bytes(r.digest)], set()).add(r.doc_id)
+        roots.append(sorted(map(sorted, groups.values())))
+    assert roots[0] == roots[1]  # buckets of one block and of more blocks than there are bands
