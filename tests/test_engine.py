@@ -625,3 +625,25 @@ def test_near_dup_pairs_names_copies_once(spark, tmp_path):
         assert {tuple(r) for r in links} <= {tuple(r) for r in pairs}
         whole = {tuple(r) for r in dedup.near_links(df, id_="doc_id", text=t, tile=tile, width=0, head=0).collect()}
         assert set(got) <= whole
+
+
+def test_nearest_rows_over_many_tiles_with_ties_and_odd_vectors(spark, monkeypatch):
+    import math
+
+    from stepweave.operators import joins
+
+    monkeypatch.setattr(joins, "MEMBERS", (7, 16))
+    rng = random.Random(10)
+    rows = [(k, k % 2, k % 3, [float(rng.randint(0, 3)) + 1000 for _ in range(4)]) for k in range(120)]
+    rows += [(200, 0, 1, None), (201, 0, 1, [1000.0, None, 1000.0, 1001.0]), (202, 0, 2, [1.0]), (203, 5, 1, [0.0] * 4), (204, None, 1, [0.0] * 4), (205, 0, None, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, fold int, parent int, x array<double>")
+    got = {(r.id, r["rank"]): (r.neighbor, r.dist) for r in joins.nearest_with_control(df, id_="id", block=["fold"], other="parent", vector="x", k=3, tie=F.col("neighbor")).collect()}
+    want = {}
+    for i, f, p, x in rows:
+        near = []
+        for j, g, q, y in rows:
+            if None not in (f, g, p, q) and f == g and p != q:
+                known = x is not None and y is not None and len(x) == len(y) and None not in x + y
+                near.append((round(math.dist(x, y), 9) if known else math.inf, j))
+        want |= {(i, n + 1): (j, d if d < math.inf else None) for n, (d, j) in enumerate(sorted(near)[:3])}
+    assert got == want
